@@ -22,49 +22,77 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
 
 #: Distinct chunks remembered by a worker; when full the memory starts anew, so it is bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 #: Controls that str.split() takes for white space while the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+#: Fixed value: the pattern by which the vocabulary's file cuts lower-case text into words.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: Letters for which Unicode tables of all versions, and lower-casing in and out of context, agree.
+_LATIN = re.compile("[\x21-\x7e\xa1-\u024f]*")
+
+
 class WordTokenizer:
     """Ids (little-endian unsigned 32-bit) of whole texts under a vocabulary whose tokens never cross white space.
 
-    Each distinct chunk between white space goes through the tokenizers library once and is remembered, within a
-    bound; texts with special tokens go through it whole.
+    Each distinct chunk between white space is cut into words, and each distinct word goes through the tokenizers
+    library once; both are remembered within a bound. Chunks with letters beyond the Latin blocks, and texts with
+    special tokens, go through the library's whole pipeline.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)  # for words: neither normalises nor cuts
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join([*map(re.escape, special), _ODD_SPACE.pattern]))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if _LATIN.fullmatch(c)]
+        if len(plain) < len(chunks):
+            other = list(set(chunks).difference(plain))
+            self.known.update(zip(other, self._encode(self.tokenizer, other), strict=True))
+        cut = [_PIECE.findall(unicodedata.normalize("NFC", c).lower()) for c in plain]
+        new = list({w for words in cut for w in words}.difference(self.words))
+        if len(self.words) + len(new) > CACHE_ENTRIES:
+            self.words.clear()
+            new = list({w for words in cut for w in words})
+        self.words.update(zip(new, self._encode(self.bare, new), strict=True))
+        ids = self.words.__getitem__
+        self.known.update(zip(plain, (b"".join(map(ids, words)) for words in cut), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [None if self.special.search(x) else x.split() for x in texts]
-        new = list({c for chunks in plain if chunks for c in chunks}.difference(self.known))
+        split = [None if self.special.search(x) else x.split() for x in texts]
+        new = list({c for chunks in split if chunks for c in chunks}.difference(self.known))
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known.clear()
-            new = list({c for chunks in plain if chunks for c in chunks})
-        self.known.update(zip(new, self._encode(new), strict=True))
+            new = list({c for chunks in split if chunks for c in chunks})
+        self._learn(new)
         ids = self.known.__getitem__
-        return [self._encode([x])[0] if chunks is None else b"".join(map(ids, chunks)) for x, chunks in zip(texts, plain, strict=True)]
+        return [self._encode(self.tokenizer, [x])[0] if chunks is None else b"".join(map(ids, chunks)) for x, chunks in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
