@@ -169,5 +169,6 @@ def digest(df: DataFrame, base: tuple[str, ...] = BASE, id_col: str = "doc_id")
     """Counts and a digest of the base kinds' spans, and all spans as one string."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     own = F.filter("secrets", lambda s: s.kind.isin(*base))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in base]
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in base]
     return df.select(id_col, *counts, F.sha2(text(own), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))
