@@ -41,6 +41,31 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_all
+
+    _, directory = archive(table(spark, sf_dir, "pages"), least_bytes=1000)
+    return read_all(directory)
+
+
+#: The contract's rules, and the entries that decide where none of them fits.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+URL_LIST = [("block", "ads-track.example.com/"), ("block", "ads-track.example.net/"), ("block", "ads-track.example.org/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .url_filter import build, judge_urls, rule_table
+
+    by_rule = judge_urls(table(spark, sf_dir, "pages"), build(rule_table(spark, URL_RULES)))
+    own = ["page_id", "host", "path", "rule"]
+    first = by_rule.select("page_id", "url", F.struct(*own, "verdict").alias("found"))
+    both = judge_urls(first.select(F.struct("page_id", "found").alias("row"), "url"), build(rule_table(spark, URL_LIST)), id_col="row")
+    verdict = F.coalesce(F.col("row.found.verdict"), F.col("verdict"), F.lit("allow"))
+    return both.select("row.page_id", "row.found.host", "row.found.path", "row.found.rule", verdict.alias("verdict"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, find_pii
 
@@ -64,9 +89,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+_DIGEST = "sha1(coalesce(html, ''))"
+_BYTES = "octet_length(encode(coalesce(html, '')))"
+_LAST = f"max(page_id) over (partition by {_DIGEST})"
+
+SQL: dict[str, str] = {
+    "op6_warc": f"""
+        with marked as (
+            select page_id, {_BYTES} as payload_bytes, {_DIGEST} as payload_digest, {_LAST} as last_id
+            from pages)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+            case when payload_bytes >= 1000 and page_id < last_id then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 1000 and page_id < last_id then last_id end as refers_to
+        from marked""",
+    "op7_url_filter": """
+        with parts as (
+            select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
+            from pages),
+        rules(rule_host, rule_path, rule_verdict, listed) as (values
+            ('com', '/en/', 'block', false), ('example.com', '/en/7', 'allow', false), ('net', '/de/', 'block', false),
+            ('example.net', '/de/8', 'block', false), ('org', '/es/', 'block', false),
+            ('ads-track.example.com', '/', 'block', true), ('ads-track.example.net', '/', 'block', true), ('ads-track.example.org', '/', 'block', true)),
+        fits as (
+            select *, row_number() over (partition by page_id, host, path order by listed, length(rule_host || rule_path) desc, length(rule_host) desc) as k
+            from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+        select p.page_id, p.host, p.path,
+            case when not f.listed then f.rule_host || f.rule_path end as rule,
+            coalesce(f.rule_verdict, 'allow') as verdict
+        from parts p left join fits f on f.page_id = p.page_id and f.host = p.host and f.path = p.path and f.k = 1""",
+}
