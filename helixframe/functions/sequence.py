@@ -69,20 +69,27 @@ def slice_text(data: Column | str, start: int | None = None, stop: int | None =
         return F.substring(data, begin + 1, F.greatest(end - begin, F.lit(0)))
     if step == 0:
         raise ValueError("a slice's step can't be 0")
+    return let(letters(data), lambda own: F.array_join(_stepped(own, start, stop, step), ""))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression named inside a lambda is otherwise computed at every call."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _stepped(own: Column, start: int | None, stop: int | None, step: int) -> Column:
+    length = F.size(own)
     if step > 0:
         begin, end = slice_range(length, start, stop)
-        last = end - 1
-        some = begin < end
-    else:
-        def place(i: int | None, default: Column) -> Column:
-            if i is None:
-                return default
-            return F.least(F.lit(i), length - 1) if i >= 0 else F.greatest(length + i, F.lit(-1))
+        return F.filter(own, lambda c, i: (i >= begin) & (i < end) & (F.pmod(i - begin, F.lit(step)) == 0))
 
-        begin, last = place(start, length - 1), place(stop, F.lit(-1)) + 1
-        some = begin >= last
-    letters = F.transform(F.sequence(begin, last, F.lit(step)), lambda i: F.substring(data, i + 1, F.lit(1)))
-    return F.when(some, F.array_join(letters, "")).otherwise(F.lit(""))
+    def place(i: int | None, default: Column) -> Column:
+        if i is None:
+            return default
+        return F.least(F.lit(i), length - 1) if i >= 0 else F.greatest(length + i, F.lit(-1))
+
+    begin, end = place(start, length - 1), place(stop, F.lit(-1))
+    return F.reverse(F.filter(own, lambda c, i: (i <= begin) & (i > end) & (F.pmod(begin - i, F.lit(-step)) == 0)))
 
 
 def letter_at(data: Column | str, i: int) -> Column:
@@ -99,19 +106,23 @@ def set_slice(data: Column | str, text: str, start: int, stop: int) -> Column:
     return F.concat(F.substring(data, F.lit(1), begin), F.lit(text), F.substring(data, F.greatest(begin, end) + 1, F.length(data)))
 
 
+def letters(data: Column | str) -> Column:
+    """Array of all letters, in one pass over the text."""
+    return F.regexp_extract_all(col(data), F.lit("(?s)(.)"), F.lit(1))
+
+
 def kmers(data: Column | str, k: int) -> Column:
-    """Array of all overlapping words of k letters; empty if the text is shorter."""
-    data = col(data)
-    words = F.transform(F.sequence(F.lit(1), F.length(data) - (k - 1)), lambda i: F.substring(data, i, F.lit(k)))
-    return F.when(F.length(data) >= k, words).otherwise(F.array().cast("array<string>"))
+    """Array of all overlapping words of k letters; empty if the text is shorter.
+
+    A look-ahead at every place makes them in one pass; substring() at each place would walk from the text's start.
+    """
+    return F.regexp_extract_all(col(data), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def ungapped_places(data: Column | str, gap: str = "-") -> Column:
     """0-based places of all letters that aren't gaps."""
-    data = col(data)
-    every = F.sequence(F.lit(0), F.length(data) - 1)
-    own = F.filter(every, lambda i: ~F.substring(data, i + 1, F.lit(1)).isin(*gap))
-    return F.when(F.length(data) > 0, own).otherwise(F.array().cast("array<int>"))
+    placed = F.transform(letters(data), lambda c, i: F.when(~c.isin(*gap), i))
+    return F.filter(placed, lambda i: i.isNotNull())
 
 
 def slice_ungapped(data: Column | str, start: int | None, stop: int | None, gap: str = "-") -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import col, reverse_complement
+from ..functions.sequence import kmers, reverse_complement
 
 #: Start and stop codons in both spellings.
 START_CODONS = ("AUG", "ATG")
@@ -40,10 +40,8 @@ def with_strands(seqs: DataFrame, rf: tuple[int, ...]):
 
 def codon_places(text, words: Sequence[str]):
     """Array of (pos, word) of the codons among words, at every place of the text."""
-    text = col(text)
-    every = F.transform(F.sequence(F.lit(0), F.length(text) - 3), lambda i: F.struct(i.alias("pos"), F.substring(text, i + 1, F.lit(3)).alias("word")))
-    own = F.filter(every, lambda x: x["word"].isin(*words))
-    return F.when(F.length(text) >= 3, own).otherwise(F.array().cast("array<struct<pos:int,word:string>>"))
+    every = F.transform(kmers(text, 3), lambda word, i: F.struct(i.alias("pos"), word.alias("word")))
+    return F.filter(every, lambda x: x["word"].isin(*words))
 
 
 def match_codons(seqs: DataFrame, words: Sequence[str], rf: int | str | Sequence[int] = "fwd", start: int = 0) -> DataFrame:

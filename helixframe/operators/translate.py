@@ -16,22 +16,21 @@ from ..functions.sequence import col
 
 
 def amino_acid(codon: Column, code: GeneticCode, astop: str = "X") -> Column:
-    """Letter of one codon: by its place in the code's 64 letters; ambiguous codons by a map; else X."""
+    """Letter of one codon: by its place in the code's 64 letters; ambiguous codons by a list; else X."""
     line = "".join(code.amino[a + b + c] for a in "TCAG" for b in "TCAG" for c in "TCAG")
     ambiguous = {c: aa for c, aa in code.amino.items() if not set(c) <= set("ACGT")} | dict.fromkeys(code.maybe_stops, astop)
     place = [F.instr(F.lit("TCAG"), F.substring(codon, F.lit(k), F.lit(1))) - 1 for k in (1, 2, 3)]
     plain = F.substring(F.lit(line), place[0] * 16 + place[1] * 4 + place[2] + 1, F.lit(1))
-    known = F.create_map(*(F.lit(x) for pair in sorted(ambiguous.items()) for x in pair))
+    # one text ";AAR:K;AAY:N..." is a small plan; a map of thousands of literals would take Spark minutes to analyse
+    known = F.lit("".join(f";{c}:{aa}" for c, aa in sorted(ambiguous.items())))
+    at = F.instr(known, F.concat(F.lit(";"), codon, F.lit(":")))
     concrete = (place[0] >= 0) & (place[1] >= 0) & (place[2] >= 0) & (F.length(codon) == 3)
-    return F.when(concrete, plain).otherwise(F.coalesce(F.try_element_at(known, codon), F.lit("X")))
+    return F.when(concrete, plain).when(at > 0, F.substring(known, at + 5, F.lit(1))).otherwise("X")
 
 
 def codons(data: Column | str) -> Column:
     """Array of the whole codons, U read as T."""
-    text = F.translate(col(data), "U", "T")
-    count = F.floor(F.length(text) / 3).cast("int")
-    found = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * 3 + 1, F.lit(3)))
-    return F.when(count > 0, found).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.translate(col(data), "U", "T"), F.lit("(?s)(.{3})"), F.lit(1))
 
 
 def translate_column(data: Column | str, complete: bool = False, final_stop: bool | None = None, astop: str = "X", tt: int = 1) -> Column:
