@@ -34,7 +34,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     line = F.try_element_at("head", F.lit(2))
     one = F.try_element_at("head", F.lit(3)).isNull() | (F.trim(F.try_element_at("head", F.lit(3))) == "")
     size = F.col("len") - F.octet_length(header) - 1
-    return placed.filter(F.trim(header) != "").select(seqid.alias("seqid"), "file", F.when(one, 0).otherwise(F.octet_length(F.rtrim(F.lit("\r"), line))).cast("int").alias("linelen"), eol.cast("int").alias("eol"), (F.col("from") + F.col("in") + F.octet_length(header) + 1).alias("offset"), F.greatest(size, F.lit(0)).cast("long").alias("size"))
+    return placed.filter(F.trim(header) != "").select(seqid.alias("seqid"), "file", F.when(one, 0).otherwise(F.octet_length(F.rtrim(line, F.lit("\r")))).cast("int").alias("linelen"), eol.cast("int").alias("eol"), (F.col("from") + F.col("in") + F.octet_length(header) + 1).alias("offset"), F.greatest(size, F.lit(0)).cast("long").alias("size"))
 
 
 def save_index(index: DataFrame, path: str) -> None:
