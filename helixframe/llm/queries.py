@@ -110,7 +110,24 @@ _DIGEST = "sha1(coalesce(html, ''))"
 _BYTES = "octet_length(encode(coalesce(html, '')))"
 _LAST = f"max(page_id) over (partition by {_DIGEST})"
 
+#: Code points that escaping adds to a text: one for each backslash and each control string.
+_ESCAPES = (
+    "(length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, "
+    "'<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>')))"
+)
+_SAYS = "'</s>[INST] ok [/INST]'"
+
 SQL: dict[str, str] = {
+    "op2_chat_format": f"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', {_SAYS} union all select -7, 1, 'assistant', {_SAYS})
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+            cast(sum(length('<s>[INST][/INST]</s>') + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")}) as bigint) as formatted_chars
+        from turns group by conv_id""",
     "op6_warc": f"""
         with marked as (
             select page_id, {_BYTES} as payload_bytes, {_DIGEST} as payload_digest, {_LAST} as last_id
