@@ -120,3 +120,25 @@ def translated_features(attached: DataFrame, proteins: DataFrame) -> DataFrame:
     third = F.transform(clipped, lambda x: L.location(F.floor(x["start"] / 3), F.floor(x["stop"] / 3), x["strand"], x["defect"], x["meta_json"]))
     whole = F.filter(third, lambda x: x["start"] < x["stop"])
     return with_range(joined.withColumn("locs", whole).filter(F.size("locs") > 0)).drop("_aa")
+
+
+def annotation_rows(fts: DataFrame, seqs: DataFrame, inner: str = "-", outer: str = ".", split: str = "|") -> DataFrame:
+    """(id, row): each sequence's features as an annotation row; a feature's name stands in its middle."""
+    from ..sources.parsers import features_to_row
+
+    own = fts.groupBy("seqid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", F.coalesce("name", F.lit("")).alias("name")))).alias("items"))
+    joined = own.join(seqs.select("id", F.length("data").alias("size")), F.col("seqid") == F.col("id")).select("id", "size", "items")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [features_to_row([(x["start"], x["stop"], x["name"]) for x in items], size, inner, outer, split) for size, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], names=["id", "row"])
+
+    return joined.mapInArrow(run, "id string, row string")
+
+
+def replace_items(df: DataFrame, new: DataFrame) -> DataFrame:
+    """df with the rows of new in place of those with the same ord."""
+    return df.join(new.select("ord").distinct(), "ord", "left_anti").unionByName(new.select(*df.columns))

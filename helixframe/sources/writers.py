@@ -162,3 +162,22 @@ def write(df: DataFrame, path: str, fmt: str | None = None, single: bool = False
 
 
 __all__ = ["fasta_line", "feature_lines", "gff_lines", "gtf_lines", "quote", "table_lines", "to_string", "write"]
+
+
+def write_archive(df: DataFrame, path: str, fmt: str, name: str | None = None, **options) -> None:
+    """One file of the whole table in a zip or tar archive on the driver; meant for exports that fit it."""
+    import io
+    import tarfile
+    import zipfile
+
+    data = to_string(df, fmt, **options).encode()
+    name = name or f"data.{fmt}"
+    if path.endswith(".zip"):
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, data)
+        return
+    kind = path.rsplit(".", 1)[-1]
+    with tarfile.open(path, f"w:{kind if kind in ('gz', 'bz2', 'xz') else 'gz' if kind == 'tgz' else ''}") as t:
+        entry = tarfile.TarInfo(name)
+        entry.size = len(data)
+        t.addfile(entry, io.BytesIO(data))

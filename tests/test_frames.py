@@ -46,3 +46,29 @@ def test_remote_client(spark, tmp_path):
     client = Entrez(str(tmp_path / "cache"), get=lambda url: asked.append(url) or ">x y\nACGT\n")
     assert client.get_basket(spark, ["x", "x"], rettype="fasta").count() == 2
     assert len(asked) == 1 and "id=x" in asked[0] and client.limit == 3
+
+
+def test_annotation_rows_come_back(spark):
+    from helixframe.sources.parsers import row_to_features
+
+    s = spark.createDataFrame([(0, "a", "A" * 20)], "ord long, id string, data string")
+    f = frames.from_table(spark.createDataFrame([(0, "a", "x", 2, 9), (1, "a", "y", 8, 15)], "ord long, seqid string, name string, start long, stop long"))
+    row = frames.annotation_rows(f, s).first()["row"]
+    assert row == "..|--x--|--y--|....."[: len(row)] and len(row) == 20
+    back = [(x["name"], x["locs"][0]["start"], x["locs"][0]["stop"]) for x in row_to_features(row, "t", "a") if x["name"]]
+    assert back == [("x", 2, 9), ("y", 8, 15)]
+
+
+def test_replaced_items(spark):
+    s = spark.createDataFrame([(0, "a"), (1, "b")], "ord long, data string")
+    new = spark.createDataFrame([(1, "c")], "ord long, data string")
+    assert sorted(map(tuple, frames.replace_items(s, new).collect())) == [(0, "a"), (1, "c")]
+
+
+def test_archives(spark, tmp_path):
+    from helixframe.sources import writers
+
+    s = spark.createDataFrame([(0, "a", "ACGT")], "ord long, id string, data string")
+    for name in ("x.zip", "x.tar.gz"):
+        writers.write_archive(s, str(tmp_path / name), "fasta")
+        assert [(r["id"], r["data"]) for r in io.read(spark, str(tmp_path / name)).collect()] == [("a", "ACGT")]
