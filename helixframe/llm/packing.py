@@ -25,6 +25,7 @@ import re
 import unicodedata
 import zlib
 from dataclasses import dataclass, field
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
 
-#: Distinct chunks remembered by a worker; when full the memory starts anew, so it is bounded.
-CACHE_ENTRIES = 500_000
+#: Distinct chunks and words remembered by a worker (some 200 bytes each); when full the memory starts anew.
+CHUNKS, WORDS = 1_000_000, 700_000
 #: Controls that str.split() takes for white space while the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -46,6 +47,15 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\
 _LATIN = re.compile("[\x21-\x7e\xa1-\u024f]*")
 
 
+def _cut(chunk: str) -> list[str]:
+    """The lower-case words of a chunk; most are letters with a mark at their end, for which no pattern is needed."""
+    chunk = chunk.lower()
+    word = chunk.rstrip(".,")
+    if word.isalpha():
+        return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
+    return _PIECE.findall(chunk)
+
+
 class WordTokenizer:
     """Ids (little-endian unsigned 32-bit) of whole texts under a vocabulary whose tokens never cross white space.
 
@@ -68,28 +78,33 @@ class WordTokenizer:
 
     @staticmethod
     def _encode(tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
+        ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
+        return [data[a:b] for a, b in pairwise(ends)]
 
     def _learn(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if _LATIN.fullmatch(c)]
         if len(plain) < len(chunks):
             other = list(set(chunks).difference(plain))
             self.known.update(zip(other, self._encode(self.tokenizer, other), strict=True))
-        cut = [_PIECE.findall(unicodedata.normalize("NFC", c).lower()) for c in plain]
-        new = list({w for words in cut for w in words}.difference(self.words))
-        if len(self.words) + len(new) > CACHE_ENTRIES:
+        cut = [_cut(c if c.isascii() else unicodedata.normalize("NFC", c)) for c in plain]
+        every = set().union(*cut)
+        new = list(every.difference(self.words))
+        if len(self.words) + len(new) > WORDS:
             self.words.clear()
-            new = list({w for words in cut for w in words})
+            new = list(every)
         self.words.update(zip(new, self._encode(self.bare, new), strict=True))
         ids = self.words.__getitem__
         self.known.update(zip(plain, (b"".join(map(ids, words)) for words in cut), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if self.special.search(x) else x.split() for x in texts]
-        new = list({c for chunks in split if chunks for c in chunks}.difference(self.known))
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        every = set().union(*filter(None, split))
+        new = list(every.difference(self.known))
+        if len(self.known) + len(new) > CHUNKS:
             self.known.clear()
-            new = list({c for chunks in split if chunks for c in chunks})
+            new = list(every)
         self._learn(new)
         ids = self.known.__getitem__
         return [self._encode(self.tokenizer, [x])[0] if chunks is None else b"".join(map(ids, chunks)) for x, chunks in zip(texts, split, strict=True)]
