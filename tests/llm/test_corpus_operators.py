@@ -75,6 +75,23 @@ def test_near_duplicate_classes(spark, groups):
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted([*first.values(), n])
 
 
+def test_twins_in_one_large_bucket(spark):
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    hashes = np.fromiter(map(near_dedup._words.__getitem__, vocabulary), dtype=np.uint64, count=len(vocabulary))
+    first = vocabulary.pop(int(near_dedup.mix(near_dedup.mix(hashes) ^ near_dedup.mix(np.array([0xA0761D6478BD642F], dtype=np.uint64))).argmin()))
+    texts = []
+    for _ in range(100):
+        base = [first, *(rng.choice(vocabulary) for _ in range(39))]
+        twin = list(base)
+        for at in rng.sample(range(1, 40), 6):
+            twin[at] = rng.choice(vocabulary)
+        texts += [base, twin]
+    d = spark.createDataFrame([(i // 2 + 1000 * (i % 2), " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d, tables=1, sample=1, width=1).collect()}
+    assert found == {i + more: i for i in range(100) for more in (0, 1000)}
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = "one two three four five six seven"
     d = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, "x")], "doc_id long, text string")
