@@ -88,10 +88,27 @@ def test_twins_in_one_large_bucket(spark):
             twin[at] = rng.choice(vocabulary)
         texts += [base, twin]
     d = spark.createDataFrame([(i // 2 + 1000 * (i % 2), " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d, tables=1, sample=1, width=1).collect()}
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d, tables=1, sample=1, width=1, fine=0, short=0).collect()}
     assert found == {i + more: i for i in range(100) for more in (0, 1000)}
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(29)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(300):
+        base = [rng.choice(vocabulary) for _ in range((5, 9, 14, 40, 120, 200)[k % 6])]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), len(base) // 5):
+            copy[at] = rng.choice(vocabulary)
+        assert near_dedup.similar(" ".join(base), " ".join(copy), 0.8)
+        texts += [base, copy]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()}
+    together = [found[2 * k] == found[2 * k + 1] for k in range(300)]
+    assert all(sum(together[k::6]) >= 46 for k in range(6))
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = "one two three four five six seven"
     d = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, "x")], "doc_id long, text string")
