@@ -187,6 +187,13 @@ def match_regex(spark, sf):
     return match.match(s, "the [a-z]+", rf=None, gap=None).groupBy("seq_ord").agg(F.count("*").alias("n"))
 
 
+@query("""with t as (select doc_id, regexp_extract_all(lower(text), 'the [a-z]+') as found from documents)
+    select doc_id as seq_ord, cast(len(found) as bigint) as n from t where len(found) > 0""")
+def match_regex_whole(spark, sf):
+    s = derive.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("id"), F.lower("text").alias("data"))
+    return match.match(s, "the [a-z]+", rf=None, gap=None).groupBy("seq_ord").agg(F.count("*").alias("n"))
+
+
 def _orf_sql(strands: str, where: str = "", every: bool = False, nested: bool = False, text: bool = False) -> str:
     """starts x stops of one frame: the next stop of each start, then the first start of each stop."""
     pick = "s.pos" if every else "min(s.pos)"
