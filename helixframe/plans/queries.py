@@ -122,6 +122,13 @@ def seq_slice_ungapped(spark, sf):
     return d.select("doc_id", sequence.slice_ungapped("data", 3, 20).alias("part"))
 
 
+@query("""with s as (select doc_id, regexp_replace(text, '[^A-Za-z]', '-', 'g') as data from documents)
+    select doc_id, coalesce(nullif(regexp_extract(data, '^(?:-*[A-Za-z]){3}-*([A-Za-z](?:-*[A-Za-z]){16})', 1), ''), regexp_extract(data, '^(?:-*[A-Za-z]){3}-*([A-Za-z].*)$', 1)) as part from s""")
+def seq_slice_ungapped_whole(spark, sf):
+    d = derive.table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "-").alias("data"))
+    return d.select("doc_id", sequence.slice_ungapped("data", 3, 20).alias("part"))
+
+
 # counting and merging
 
 

@@ -14,3 +14,8 @@ def documents(spark, folder, text):
 def test_matches_far_in_a_text(spark, tmp_path):
     folder = documents(spark, tmp_path, "x " * 300 + "the cat. The dog")
     assert QUERIES["match_regex_whole"].run(spark, folder).first()["n"] == 2
+
+
+def test_slice_far_in_a_text(spark, tmp_path):
+    folder = documents(spark, tmp_path, "abc" + " " * 300 + "DEFGHIJKLMNOPQRSTUVW")
+    assert QUERIES["seq_slice_ungapped_whole"].run(spark, folder).first()["part"] == "DEFGHIJKLMNOPQRST"
