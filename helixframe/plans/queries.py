@@ -478,6 +478,40 @@ def list_xor(spark, sf):
     return _without_ord(rows.list_xor(*_lists(spark, sf)))
 
 
+_ALL_LISTS = f"{FTS}, a as (select ord, {_FTS_KEY} from fts where start < 2400), b as (select ord, {_FTS_KEY} from fts where start >= 2300)"
+
+
+def _all_lists(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two lists that overlap and together hold every feature."""
+    f = derive.fts(spark, sf)
+    return f.filter("start < 2400"), f.filter("start >= 2300")
+
+
+@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a union all select {_FTS_KEY} from b")
+def list_union_whole(spark, sf):
+    return _without_ord(rows.list_add(*_all_lists(spark, sf)))
+
+
+@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a x where exists (select 1 from b y where {_EQUAL})")
+def list_and_whole(spark, sf):
+    return _without_ord(rows.list_and(*_all_lists(spark, sf)))
+
+
+@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a union all select {_FTS_KEY} from b x where not exists (select 1 from a y where {_EQUAL})")
+def list_or_whole(spark, sf):
+    return _without_ord(rows.list_or(*_all_lists(spark, sf)))
+
+
+@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a x where not exists (select 1 from b y where {_EQUAL})")
+def list_sub_whole(spark, sf):
+    return _without_ord(rows.list_sub(*_all_lists(spark, sf)))
+
+
+@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a x where not exists (select 1 from b y where {_EQUAL}) union all select {_FTS_KEY} from b x where not exists (select 1 from a y where {_EQUAL})")
+def list_xor_whole(spark, sf):
+    return _without_ord(rows.list_xor(*_all_lists(spark, sf)))
+
+
 # joins of sequences and features
 
 
@@ -499,6 +533,12 @@ def extract_by_feature(spark, sf):
     return joins.extract(derive.seqs(spark, sf), features).select("ft_ord", "ord", "id", F.md5("data").alias("cut"))
 
 
+@query(f"""with {SEQS}, {FTS} select f.ord as ft_ord, s.ord, s.id, md5(case when strand = '-' then reverse(translate(substr(data, start + 1, stop - start), 'ACGT', 'TGCA')) else substr(data, start + 1, stop - start) end) as cut
+    from fts f join seqs s on s.id = f.seqid""")
+def extract_by_feature_whole(spark, sf):
+    return joins.extract(derive.seqs(spark, sf), derive.with_locs(derive.fts(spark, sf))).select("ft_ord", "ord", "id", F.md5("data").alias("cut"))
+
+
 @query(f"""with {SEQS}, {FTS}, first_ as (select seqid, arg_min(start, ord) as start, arg_min(stop, ord) as stop, arg_min(strand, ord) as strand from fts where type = 'RF' group by seqid)
     select s.id, md5(case when strand = '-' then reverse(translate(substr(data, start + 1, stop - start), 'ACGT', 'TGCA')) else substr(data, start + 1, stop - start) end) as cut from seqs s join first_ f on f.seqid = s.id""")
 def extract_by_type(spark, sf):

@@ -19,3 +19,10 @@ def test_matches_far_in_a_text(spark, tmp_path):
 def test_slice_far_in_a_text(spark, tmp_path):
     folder = documents(spark, tmp_path, "abc" + " " * 300 + "DEFGHIJKLMNOPQRSTUVW")
     assert QUERIES["seq_slice_ungapped_whole"].run(spark, folder).first()["part"] == "DEFGHIJKLMNOPQRST"
+
+
+def test_late_features(spark):
+    every = derive.fts(spark, SF)
+    found = QUERIES["extract_by_feature_whole"].run(spark, SF).count()
+    assert found == every.join(derive.seqs(spark, SF).withColumnRenamed("id", "seqid"), "seqid", "left_semi").count()
+    assert QUERIES["list_or_whole"].run(spark, SF).count() == every.count()
