@@ -1,6 +1,6 @@
 """Secret scan: all rules in one byte pass of one combined automaton.
 
-Every rule is a head and then a run of body characters. The rules, each up to the shortest body that can count, are
+Every rule is a head and then a run of body characters; a PEM key has its key material behind the run. The rules, each up to the shortest body that can count, are
 compiled together, by subset construction and minimisation, into one automaton that may start anywhere. One pass over
 the bytes of a text tells where each rule's match can first end. From there the rule's reversed automaton finds the
 leftmost start and its forward automaton, whose run has no end, the longest end. Matches of a kind don't overlap; those whose body or whole is too short are dropped, and the search goes
@@ -33,8 +33,12 @@ class Rule(NamedTuple):
     least_body: int = 0
     least: int = 0
     scan: int = 1  # body characters after which the one pass reports the rule; no match has fewer
+    tail: str = ""  # an expression for what belongs to the secret behind the run
 
 
+#: Key material behind a PEM header up to its END line (line ends may be blanks or escaped); without one, its long lines.
+PEM_TAIL = r"(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+\n)*+(?:[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{16,}+={0,2})*+)"
+
 #: The first three kinds are the base rules; the others follow formats that issuers have published.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]", True, 6),
@@ -45,7 +49,7 @@ RULES = (
     Rule("google", r"AIza", r"[A-Za-z0-9_-]", least=39),
     Rule("stripe", r"[rs]k_live_", r"[A-Za-z0-9]", least=24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", r"[A-Za-z0-9_-]"),
-    Rule("pem", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY", r"-", least_body=5, scan=5),
+    Rule("pem", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY", r"-", least_body=5, scan=5, tail=PEM_TAIL),
 )
 BASE = ("assign", "access", "hex")
 
@@ -60,6 +64,7 @@ class Scanner:
         self.backward = [Dfa([reverse(t)]) for t in short]
         self.forward = [Dfa([("cat", [h, ("rep", b, 1, None)])]) for h, b in zip(heads, bodies, strict=True)]
         self.heads = [Dfa([h]) for h in heads]
+        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
         none = self.all.sets.index(frozenset())
         self.hit = re.compile(b"[^" + re.escape(bytes([none])) + b"]")
 
@@ -80,9 +85,11 @@ class Scanner:
                     continue
                 start = at - back
                 end = start + self.forward[k].longest(data, start, len(data))
-                resume[k] = end
                 rule = self.rules[k]
                 body = start + max(0, self.heads[k].longest(data, start, end)) if rule.head else start
+                if self.tails[k] and (tail := self.tails[k].match(data, end)):
+                    end = tail.end()
+                resume[k] = end
                 if end - body >= rule.least_body and end - start >= rule.least:
                     found.append((start, k, end, body))
         return sorted(found)

@@ -87,6 +87,14 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert found[1]["text"] is None and found[1]["n_chars"] == 7 and found[2]["text"] == "clean"
 
 
+def test_key_material_is_redacted(spark):
+    key = "MIIEpAIBAAKCAQEA7bq+/x" * 3
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {head}\n{key}\n{key}\nab==\n{end} b", f"a {head} {key} {end} b", f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{key}\n{end} b", f"a {head}\n{key}\n{key}== b", f"a {head} b"]
+    found = [r["text"] for r in secrets.redact_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert found == ["a -----BEGIN RSA PRIVATE KEY[pem] b"] * 5
+
+
 def test_automaton_equals_expressions():
     rng = random.Random(4)
     patterns = ["ab*c", "(a|b)+c?", "a{2,3}b", "[^a]b|ca", "(ab|a)(c|bc)"]
