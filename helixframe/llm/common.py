@@ -11,20 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows per Arrow batch: texts are a few kB on average, so a batch stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows that a function of map_arrow gets at most.
+BATCH_ROWS = 2000
+#: Bytes of an Arrow batch that goes to a Python worker: a bound whatever the texts' length (one row may exceed it).
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows an Arrow batch carries to a Python worker (only ever lowers the session's value)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes an Arrow batch carries to a Python worker.
+
+    Spark reads the setting when a plan runs, after the operator has returned, so it stays in the session; it is only
+    ever lowered, and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = spark.conf.get(key, "")
+    if not text.isdigit() or int(text) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,19 +62,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to a dict of columns."""
+    """mapInArrow with a function from one batch (of BATCH_ROWS rows at most) to a dict of columns."""
     spark = df.sparkSession
     small_batches(spark)
     wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = function(batch)
-            if out is None:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                out = function(whole.slice(at, BATCH_ROWS))
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
 
     return df.mapInArrow(run, schema)
 

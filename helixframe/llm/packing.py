@@ -7,7 +7,7 @@ order into the open sequence that scores best under every constraint, by
 * "norm": the least weighted norm of what would be left over (each resource as a share of its capacity), or
 * "dot": the greatest weighted dot product of the piece and what is left.
 
-All three resources of a piece follow from its length, so pieces of one length are interchangeable. The plan is
+A new sequence is begun only where no open one takes the piece. All three resources of a piece follow from its length, so pieces of one length are interchangeable. The plan is
 therefore made on the histogram of lengths, which has at most `max_tokens` rows however large the corpus is, and
 holds for all pieces at once: sequences of equal contents are kept as one row with a multiplicity. Pieces get their
 place in the plan by a rank among those of their length; ranks are dealt out in groups of bounded size, so that a
@@ -19,62 +19,82 @@ packed like any other rows; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-import bisect
 import functools
+import os
 import re
-import unicodedata
 import zlib
 from dataclasses import dataclass, field
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
 
-#: Distinct chunks and words remembered by a worker (some 200 bytes each); when full the memory starts anew.
-CHUNKS, WORDS = 1_000_000, 700_000
-#: Controls that str.split() takes for white space while the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-
+#: Distinct words remembered in each of two generations (some 150 bytes an entry).
+WORDS = 300_000
+#: Rows that are cut and looked up together: more rows share more words, fewer hold less memory.
+ROWS = 2000
 
 #: Fixed value: the pattern by which the vocabulary's file cuts lower-case text into words.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: Letters for which Unicode tables of all versions, and lower-casing in and out of context, agree.
-_LATIN = re.compile("[\x21-\x7e\xa1-\u024f]*")
+_PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\pZ\s\pL\pN]+)"
+#: Letters for which Unicode tables of all versions, lower-casing in and out of context, and composition agree.
+_LATIN = "^[\x21-\x7e\u00a1-\u00ff]*$"
+
+
+class Memory:
+    """A bounded memory in two generations: what is asked for again moves to the young one, the old one is let go."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get_all(self, keys: list[str], learn) -> list[bytes]:
+        """The values of distinct keys; learn gives those of the keys that aren't remembered."""
+        young, old = self.young, self.old
+        gaps = [k for k in keys if k not in young]
+        if gaps:
+            again = [k for k in gaps if k in old]
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            new = [k for k in gaps if k not in young] if again else gaps
+            if new:
+                young.update(zip(new, learn(new), strict=True))
+        found = list(map(young.__getitem__, keys))
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return found
 
 
-def _cut(chunk: str) -> list[str]:
-    """The lower-case words of a chunk; most are letters with a mark at their end, for which no pattern is needed."""
-    chunk = chunk.lower()
-    word = chunk.rstrip(".,")
-    if word.isalpha():
-        return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
-    return _PIECE.findall(chunk)
+def _lists(blobs: list[bytes]) -> pa.LargeListArray:
+    """Ids, given as bytes, as one list a row."""
+    ends = np.fromiter(accumulate(map(len, blobs), initial=0), dtype=np.int64, count=len(blobs) + 1)
+    return pa.LargeListArray.from_arrays(pa.array(ends >> 2), pa.array(np.frombuffer(b"".join(blobs), dtype="<u4")))
 
 
 class WordTokenizer:
-    """Ids (little-endian unsigned 32-bit) of whole texts under a vocabulary whose tokens never cross white space.
+    """Ids of whole texts under a vocabulary whose tokens never cross white space.
 
-    Each distinct chunk between white space is cut into words, and each distinct word goes through the tokenizers
-    library once; both are remembered within a bound. Chunks with letters beyond the Latin blocks, and texts with
-    special tokens, go through the library's whole pipeline.
+    A batch of texts is cut at ASCII white space and its chunks are dictionary-encoded by Arrow; distinct chunks are
+    lower-cased and cut into words there too. Only distinct words of a batch reach Python: each goes through the
+    tokenizers library once and is remembered within a bound. Chunks with letters (or spaces) beyond Latin-1, and
+    texts with special tokens, go through the library's whole pipeline.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; idle threads would spin on others'
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer.from_file(path)  # for words: neither normalises nor cuts
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(WORDS)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join([*map(re.escape, special), _ODD_SPACE.pattern]))
+        self.special = "|".join(map(re.escape, special)) or "$^x"
 
     @staticmethod
     def _encode(tokenizer, texts: list[str]) -> list[bytes]:
@@ -83,31 +103,46 @@ class WordTokenizer:
         ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
         return [data[a:b] for a, b in pairwise(ends)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if _LATIN.fullmatch(c)]
-        if len(plain) < len(chunks):
-            other = list(set(chunks).difference(plain))
-            self.known.update(zip(other, self._encode(self.tokenizer, other), strict=True))
-        cut = [_cut(c if c.isascii() else unicodedata.normalize("NFC", c)) for c in plain]
-        every = set().union(*cut)
-        new = list(every.difference(self.words))
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = list(every)
-        self.words.update(zip(new, self._encode(self.bare, new), strict=True))
-        ids = self.words.__getitem__
-        self.known.update(zip(plain, (b"".join(map(ids, words)) for words in cut), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.special.search(x) else x.split() for x in texts]
-        every = set().union(*filter(None, split))
-        new = list(every.difference(self.known))
-        if len(self.known) + len(new) > CHUNKS:
-            self.known.clear()
-            new = list(every)
-        self._learn(new)
-        ids = self.known.__getitem__
-        return [self._encode(self.tokenizer, [x])[0] if chunks is None else b"".join(map(ids, chunks)) for x, chunks in zip(texts, split, strict=True)]
+    def _of_chunks(self, chunks: pa.Array) -> pa.LargeListArray:
+        """One list of ids for each of the distinct chunks."""
+        plain = pc.match_substring_regex(chunks, _LATIN)
+        lower = pc.utf8_lower(pc.if_else(plain, chunks, ""))
+        alpha = pc.utf8_is_alpha(lower)
+        marked = pc.replace_with_mask(lower, pc.invert(alpha), pc.replace_substring_regex(lower.filter(pc.invert(alpha)), _PIECE, r"\1 "))
+        cut = pc.ascii_split_whitespace(marked)
+        words = cut.flatten().dictionary_encode()
+        ids = _lists(self.words.get_all(words.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda new: self._encode(self.bare, new))).take(words.indices)
+        ends = ids.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), ids.flatten())
+        if pc.all(plain).as_py():
+            return lists
+        other = pc.invert(plain)
+        whole = self._encode(self.tokenizer, chunks.filter(other).to_pylist())
+        return _merge(lists, other, _lists(whole))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin and the last one's end)."""
+        odd = pc.match_substring_regex(texts, self.special)
+        has_odd = pc.any(odd).as_py()
+        split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts) if has_odd else texts)
+        coded = split.flatten().dictionary_encode()
+        of_word = self._of_chunks(coded.dictionary).take(coded.indices)
+        at = of_word.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = of_word.values.to_numpy(zero_copy_only=False)
+        if not has_odd:
+            return ids, at
+        parts = np.split(ids, at[1:-1])
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            parts[k] = np.frombuffer(self._encode(self.tokenizer, [texts[int(k)].as_py()])[0], dtype="<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def _merge(lists: pa.LargeListArray, mask: pa.BooleanArray, new: pa.LargeListArray) -> pa.LargeListArray:
+    """lists with the rows under mask replaced, in order, by those of new."""
+    under = mask.to_numpy(zero_copy_only=False)
+    at = np.arange(len(lists))
+    at[under] = len(lists) + np.arange(len(new))
+    return pa.concat_arrays([lists, new]).take(pa.array(at))
 
 
 @functools.lru_cache(maxsize=2)
@@ -125,17 +160,21 @@ def cut_pieces(df: DataFrame, vocabulary: str, max_tokens: int, end_id: int, id_
     def one(batch: pa.RecordBatch) -> dict:
         tokenize, end = word_tokenizer(vocabulary), int(end_id).to_bytes(4, "little")
         out: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        step = 4 * max_tokens
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        encoded = (ids for at in range(0, len(texts), 200) for ids in tokenize(texts[at : at + 200]))
-        for row, ids in enumerate(ids + end for ids in encoded):
-            for k, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                out["row"].append(row)
-                out["piece"].append(k)
-                out["start"].append(at // 4)
-                out["length"].append(len(part) // 4)
-                out["ids_crc32"].append(zlib.crc32(part))
+        for first in range(0, batch.num_rows, ROWS):
+            texts = pc.fill_null(batch.column(1).slice(first, ROWS), "")
+            ids, at = tokenize(texts)
+            data, at = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B"), at.tolist()
+            for row, (low, high) in enumerate(pairwise(at), first):
+                n = high - low + 1  # with the end id
+                for k, start in enumerate(range(0, n, max_tokens)):
+                    size = min(max_tokens, n - start)
+                    own = data[4 * (low + start) : 4 * min(low + start + size, high)]
+                    crc = zlib.crc32(own)
+                    out["row"].append(row)
+                    out["piece"].append(k)
+                    out["start"].append(start)
+                    out["length"].append(size)
+                    out["ids_crc32"].append(zlib.crc32(end, crc) if start + size == n else crc)
         return out | {"id": batch.column(0).take(pa.array(out["row"], pa.int64()))}
 
     return map_arrow(df.select(id_col, text_col), one, PIECES.format(kind=kind))
@@ -143,26 +182,20 @@ def cut_pieces(df: DataFrame, vocabulary: str, max_tokens: int, end_id: int, id_
 
 @dataclass
 class Capacity:
-    """What a sequence can hold, and how much each resource counts for the choice of a sequence."""
+    """What a sequence can hold, and how much each resource counts for the choice of a sequence.
+
+    Attention cost is the sum of squared lengths. By default documents and attention may be what 4096 tokens allow at
+    most, so that no sequence is begun for their sake (fewest sequences under the tokens' limit); their residuals
+    count in the choice all the same. Lower capacities forbid placements; tests show both.
+    """
 
     tokens: int = 4096
     documents: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     score: str = "norm"
 
 
-@dataclass
-class Open:
-    """Sequences with the same contents: `count` of them from number `first`."""
-
-    first: int
-    count: int
-    used: int
-    documents: int
-    attention: int
-
-
 @dataclass
 class Plan:
     """Ranks [lo, hi) of `length` go to sequences from `first`, `copies` in each, from `offset` on."""
@@ -175,81 +208,95 @@ class Plan:
     sequences: int = 0
 
 
+def _shares(open_: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What is left of each resource, as a share of its capacity; rows of open_ are (first, count, tokens, documents, attention)."""
+    return (scale - open_[:, 2:]) / scale
+
+
+def _takes(open_: np.ndarray, fits: np.ndarray, todo: int, ask: np.ndarray, scale: np.ndarray, cap: Capacity) -> np.ndarray:
+    """How many of `todo` equal pieces go to each row of sequences, piece after piece to the best-scoring sequence.
+
+    The norm of what is left falls with each piece that a sequence takes, so the best one is filled up before the
+    next. The dot product falls too, so there the k-th piece of every sequence stands in line by its own score.
+    """
+    left, weights = _shares(open_, scale), np.array(cap.weights, dtype=float)
+    if cap.score == "norm":
+        order = np.argsort(((left - ask) ** 2) @ weights, kind="stable")
+        room = (open_[:, 1] * fits)[order]
+        before = np.cumsum(room) - room
+        out = np.zeros(len(open_), dtype=np.int64)
+        out[order] = np.clip(todo - before, 0, room)
+        return out
+    row = np.repeat(np.arange(len(open_)), fits)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(fits) - fits, fits)
+    key = (left @ (weights * ask))[row] - turn * float(weights @ ask**2)
+    order = np.argsort(-key, kind="stable")
+    room = open_[row[order], 1]
+    before = np.cumsum(room) - room
+    return np.bincount(row[order], np.clip(todo - before, 0, room), len(open_)).astype(np.int64)
+
+
 def plan_packing(histogram: dict[int, int], cap: Capacity) -> Plan:
-    """Best-fit decreasing over the histogram {length: number of pieces}.
+    """Vector best-fit decreasing over the histogram {length: number of pieces}.
 
-    Open sequences are kept in one bucket for each number of tokens left, so a scan for the best looks at no more
-    buckets than max_tokens; within a bucket, rows differ in documents and attention cost only.
+    Sequences with equal contents are one row with a count. A length splits a few rows at most, so there are no more
+    than a few rows for each length, however many pieces there are; each length is placed by vectorised steps over
+    all rows. A new sequence is begun only if no open one takes the piece under every constraint.
     """
     plan = Plan()
-    scale = np.array([cap.tokens, cap.documents, cap.attention], dtype=float)
-    weights = np.array(cap.weights, dtype=float)
-    buckets: dict[int, list[Open]] = {}
-    order: list[int] = []  # the numbers of tokens left that occur, ascending
-
-    def put(o: Open) -> None:
-        left = cap.tokens - o.used
-        if left and o.documents < cap.documents:
-            if left not in buckets:
-                buckets[left] = []
-                bisect.insort(order, left)
-            buckets[left].append(o)
-
-    def take(left: int, k: int) -> Open:
-        o = buckets[left].pop(k)
-        if not buckets[left]:
-            del buckets[left]
-            order.pop(bisect.bisect_left(order, left))
-        return o
-
-    def fits(o: Open, n: int) -> int:
-        """How many pieces of n tokens one such sequence still takes."""
-        return min((cap.tokens - o.used) // n, cap.documents - o.documents, (cap.attention - o.attention) // (n * n))
-
-    def cost(o: Open, n: int) -> float:
-        left = (scale - (o.used, o.documents, o.attention)) / scale
-        ask = np.array((n, 1, n * n), dtype=float) / scale
-        return -float((weights * left * ask).sum()) if cap.score == "dot" else float((weights * (left - ask) ** 2).sum())
-
-    by_tokens_alone = cap.score == "norm" and not weights[1] and not weights[2]
+    limits = np.array([cap.tokens, cap.documents, cap.attention], dtype=np.int64)
+    scale = limits.astype(float)
+    open_ = np.zeros((0, 5), dtype=np.int64)
+
+    def fill(rows: np.ndarray, amounts: np.ndarray, fits: np.ndarray, vector: np.ndarray, rank: int) -> np.ndarray:
+        """Deals ranks out: by norm the first sequences of a row are filled up, by dot product all get equally many."""
+        if cap.score == "norm":
+            full, rest = np.divmod(amounts, fits)
+            parts = [(full, fits), ((rest > 0).astype(np.int64), rest), (rows[:, 1] - full - (rest > 0), np.zeros_like(fits))]
+        else:
+            each, more = np.divmod(amounts, rows[:, 1])
+            parts = [(more, each + 1), (rows[:, 1] - more, each)]
+        out, first = [], rows[:, 0].copy()
+        for count, copies in parts:
+            keep = count > 0
+            part = rows[keep].copy()
+            part[:, 0], part[:, 1] = first[keep], count[keep]
+            placed = copies[keep] > 0
+            sizes = (part[:, 1] * copies[keep])[placed]
+            plan.length += [int(vector[0])] * len(sizes)
+            plan.lo += (rank + np.cumsum(sizes) - sizes).tolist()
+            plan.first += part[placed, 0].tolist()
+            plan.copies += copies[keep][placed].tolist()
+            plan.offset += part[placed, 2].tolist()
+            rank += int(sizes.sum())
+            part[:, 2:] += copies[keep][:, None] * vector
+            out.append(part)
+            first += count
+        return np.concatenate(out)
+
     for n in sorted(histogram, reverse=True):
-        if n > cap.tokens or n * n > cap.attention or cap.documents < 1:
+        vector = np.array([n, 1, n * n], dtype=np.int64)
+        most = int((limits // vector).min())
+        if most < 1:
             raise ValueError(f"a piece of {n} tokens fits no sequence")
         todo, rank = histogram[n], 0
-        while todo:
-            best = None
-            for left in order[bisect.bisect_left(order, n) :]:
-                for k, o in enumerate(buckets[left]):
-                    if fits(o, n) > 0 and (best is None or (c := cost(o, n)) < best[0]):
-                        best = (cost(o, n) if best is None else c, left, k)
-                        if by_tokens_alone:
-                            break
-                if best and by_tokens_alone:
-                    break
-            if best:
-                o = take(best[1], best[2])
-            else:
-                per = fits(Open(0, 0, 0, 0, 0), n)
-                o = Open(plan.sequences, -(-todo // per), 0, 0, 0)
-                plan.sequences += o.count
-            per = min(fits(o, n), todo)
-            full = min(o.count, todo // per)
-            parts = [(full, per)]
-            if full < o.count and (rest := todo - full * per) and full * per + rest == todo and rest < per:
-                parts.append((1, rest))
-            at = o.first
-            for count, copies in parts:
-                plan.length.append(n)
-                plan.lo.append(rank)
-                plan.first.append(at)
-                plan.copies.append(copies)
-                plan.offset.append(o.used)
-                put(Open(at, count, o.used + copies * n, o.documents + copies, o.attention + copies * n * n))
-                rank += count * copies
-                todo -= count * copies
-                at += count
-            if at < o.first + o.count:
-                put(Open(at, o.first + o.count - at, o.used, o.documents, o.attention))
+        fits = ((limits - open_[:, 2:]) // vector).min(axis=1)
+        able = fits > 0
+        if able.any():
+            amounts = _takes(open_[able], fits[able], todo, vector / scale, scale, cap)
+            used = amounts > 0
+            rows = open_[able]
+            open_ = np.concatenate([open_[~able], rows[~used], fill(rows[used], amounts[used], fits[able][used], vector, rank)])
+            rank += int(amounts.sum())
+            todo -= int(amounts.sum())
+        if todo:
+            full, rest = divmod(todo, most)
+            rows = np.array([(plan.sequences, full, 0, 0, 0), (plan.sequences + full, min(rest, 1), 0, 0, 0)], dtype=np.int64)
+            amounts = np.array([full * most, rest])
+            plan.sequences += full + min(rest, 1)
+            keep = rows[:, 1] > 0
+            open_ = np.concatenate([open_, fill(rows[keep], amounts[keep], np.array([most, max(rest, 1)])[keep], vector, rank)])
+        open_ = open_[(open_[:, 2] < cap.tokens) & (open_[:, 3] < cap.documents) & (open_[:, 4] < cap.attention)]
     return plan
 
 

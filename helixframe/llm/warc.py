@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, id_co
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"key string, id {kind}, file string, offset long, length long"
     wanted = arrow_schema(schema)
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = open_fs(folder)

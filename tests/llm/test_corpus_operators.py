@@ -237,18 +237,50 @@ def test_lookups_over_many_blocks(spark, tmp_path, monkeypatch):
         assert i in [f["place"]["id"] for f in captures.lookup(f"http://h{i % 7}.com/{i // 2}")]
 
 
-@pytest.mark.parametrize("cap", [packing.Capacity(64), packing.Capacity(64, 5, 2000, (1, 0.3, 0.3)), packing.Capacity(64, 5, 2000, (1, 0.3, 0.3), "dot")])
-def test_plans_hold_every_constraint(cap):
-    rng = random.Random(12)
-    top = min(64, int(cap.attention**0.5))
-    histogram = {n: rng.randint(1, 60) for n in range(1, top + 1)}
-    plan = packing.plan_packing(histogram, cap)
+def contents(plan, histogram):
+    """What the plan puts in each sequence: [(offset, length)]."""
     where = defaultdict(list)
+    starts = defaultdict(list)
+    for n, lo in zip(plan.length, plan.lo, strict=True):
+        starts[n].append(lo)
     for k, n in enumerate(plan.length):
-        later = [plan.lo[j] for j in range(len(plan.lo)) if plan.length[j] == n and plan.lo[j] > plan.lo[k]]
-        for r in range(plan.lo[k], min(later, default=histogram[n])):
+        end = min((x for x in starts[n] if x > plan.lo[k]), default=histogram[n])
+        for r in range(plan.lo[k], end):
             seq, i = divmod(r - plan.lo[k], plan.copies[k])
             where[plan.first[k] + seq].append((plan.offset[k] + i * n, n))
+    return where
+
+
+def packed_piece_by_piece(histogram, cap):
+    """The same choice for one piece after another: (tokens, documents, attention) of all sequences, sorted."""
+    scale = np.array([cap.tokens, cap.documents, cap.attention], dtype=float)
+    weights = np.array(cap.weights)
+    sequences = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        ask = np.array([n, 1, n * n])
+        fits = [k for k, used in enumerate(sequences) if (used + ask <= scale).all()]
+        if not fits:
+            sequences.append(ask)
+            continue
+        left = (scale - np.array([sequences[k] for k in fits])) / scale
+        score = ((left - ask / scale) ** 2) @ weights if cap.score == "norm" else -(left * (ask / scale)) @ weights
+        best = fits[int(np.argmin(score))]
+        sequences[best] = sequences[best] + ask
+    return sorted(map(tuple, np.array(sequences).tolist()))
+
+
+# odd weights, so that different sequences never score the same
+CAPACITIES = [packing.Capacity(64, d, a, w, score) for score in ("norm", "dot") for d, a, w in ((64, 4096, (1, 0.1234567, 0.0987654)), (5, 2000, (1, 0.3123, 0.2871)), (3, 4096, (1, 1.0123, 0.9871)))]
+
+
+@pytest.mark.parametrize("cap", CAPACITIES)
+@pytest.mark.parametrize("seed", [12, 13])
+def test_plans_hold_every_constraint_and_equal_the_choice_piece_by_piece(cap, seed):
+    rng = random.Random(seed)
+    top = min(64, int(cap.attention**0.5))
+    histogram = {n: rng.randint(1, 60 if seed == 12 else 3) for n in range(1, top + 1) if rng.random() < 0.8}
+    plan = packing.plan_packing(histogram, cap)
+    where = contents(plan, histogram)
     assert sum(map(len, where.values())) == sum(histogram.values()) and len(where) == plan.sequences
     for pieces in where.values():
         at = 0
@@ -256,16 +288,22 @@ def test_plans_hold_every_constraint(cap):
             assert offset == at
             at += n
         assert at <= cap.tokens and len(pieces) <= cap.documents and sum(n * n for _, n in pieces) <= cap.attention
-    if cap.attention > 2000:
-        left = []  # plain best-fit decreasing, piece by piece
-        for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
-            fits = [x for x in left if x >= n]
-            if fits:
-                left.remove(min(fits))
-                left.append(min(fits) - n)
-            else:
-                left.append(64 - n)
-        assert plan.sequences <= len(left)
+    found = sorted((sum(n for _, n in p), len(p), sum(n * n for _, n in p)) for p in where.values())
+    plain = packed_piece_by_piece(histogram, cap)
+    if cap.score == "norm":
+        assert found == plain
+    else:  # equal scores of different sequences may be taken in another order
+        assert abs(len(found) - len(plain)) <= 0.01 * len(plain)
+
+
+def test_each_constraint_and_each_weight_changes_the_plan():
+    rng = random.Random(14)
+    histogram = {n: rng.randint(1, 40) for n in range(1, 44)}
+    plans = [packing.plan_packing(histogram, c) for c in (packing.Capacity(64, 64, 4096), packing.Capacity(64, 4, 4096), packing.Capacity(64, 64, 1950), packing.Capacity(64, 64, 4096, (0.1, 3, 0)), packing.Capacity(64, 64, 4096, (0.1, 0, 3)), packing.Capacity(64, 64, 4096, score="dot"))]
+    seen = [sorted(map(tuple, map(sorted, contents(p, histogram).values()))) for p in plans]
+    assert all(a != b for i, a in enumerate(seen) for b in seen[:i])
+    tokens = sum(n * c for n, c in histogram.items())
+    assert plans[0].sequences <= -(-tokens // 64) + 1 < plans[1].sequences and plans[2].sequences > plans[0].sequences
 
 
 def test_packing_of_documents(spark):
