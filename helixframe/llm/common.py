@@ -28,8 +28,8 @@ def small_batches(spark: SparkSession) -> None:
     ever lowered, and changes no result.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    text = spark.conf.get(key, "")
-    if not text.isdigit() or int(text) > BATCH_BYTES:
+    now = spark.conf.get(key, str(1 << 62))
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
