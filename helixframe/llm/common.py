@@ -28,7 +28,7 @@ def small_batches(spark: SparkSession) -> None:
     ever lowered, and changes no result.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, str(1 << 62))
+    now = spark.conf.get(key).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
