@@ -75,21 +75,64 @@ def test_near_duplicate_classes(spark, groups):
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted([*first.values(), n])
 
 
-def test_twins_in_one_large_bucket(spark):
+def replaced(rng, words, edits, vocabulary):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = rng.choice(vocabulary)
+    return words
+
+
+def test_twins_in_large_buckets(spark):
+    """Half of every text is one common passage, so its shingles' buckets hold all texts; only twins are alike enough."""
     rng = random.Random(23)
     vocabulary = [f"w{i}" for i in range(4000)]
-    hashes = np.fromiter(map(near_dedup._words.__getitem__, vocabulary), dtype=np.uint64, count=len(vocabulary))
-    first = vocabulary.pop(int(near_dedup.mix(near_dedup.mix(hashes) ^ near_dedup.mix(np.array([0xA0761D6478BD642F], dtype=np.uint64))).argmin()))
+    common = [rng.choice(vocabulary) for _ in range(40)]
     texts = []
-    for _ in range(100):
-        base = [first, *(rng.choice(vocabulary) for _ in range(39))]
-        twin = list(base)
-        for at in rng.sample(range(1, 40), 6):
-            twin[at] = rng.choice(vocabulary)
-        texts += [base, twin]
+    for _ in range(700):
+        own = [rng.choice(vocabulary) for _ in range(40)]
+        texts += [common + own, common + replaced(rng, own, 12, vocabulary)]
     d = spark.createDataFrame([(i // 2 + 1000 * (i % 2), " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d, tables=1, sample=1, width=1, fine=0, short=0).collect()}
-    assert found == {i + more: i for i in range(100) for more in (0, 1000)}
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()}
+    assert sum(found[i] == found[i + 1000] == i for i in range(700)) >= 690 and len(set(found.values())) >= 700
+
+
+def test_a_large_group_around_its_original(spark):
+    """Copies are within reach of the original, hardly any of another copy: each must meet the original itself."""
+    rng = random.Random(24)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    original = [rng.choice(vocabulary) for _ in range(150)]
+    texts = [replaced(rng, original, 20, vocabulary) for _ in range(600)]
+    texts.insert(333, original)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()]
+    assert found.count(0) >= 595
+
+
+def test_classes_equal_those_of_all_pairs(spark, groups):
+    texts, _ = groups
+    rng = random.Random(25)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [*texts, *(" ".join(replaced(rng, t.split(), len(t.split()) // 6, vocabulary)) for t in texts[60:160]), "one two three", "one two four", "", "x" * 3000]
+    words = [t.lower().split() for t in texts]
+    label = list(range(len(texts)))
+    links = []
+    for i in range(len(texts)):
+        for j in range(i):
+            most = int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)
+            if abs(len(words[i]) - len(words[j])) <= most and near_dedup.edit_distance(words[i], words[j], most) <= most:
+                links.append((i, j))
+    for _ in range(len(texts)):
+        before = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()}
+    assert all(label[i] == label[c] for i, c in found.items())  # no class joins what no chain of links joins
+    assert sum(found[i] == found[j] for i, j in links) >= 0.98 * len(links)
+    members, pairs = near_dedup.near_duplicates(d)
+    assert {(r["b"], r["a"]) for r in pairs.collect()} <= set(links) and members.count() == len(texts)
 
 
 def test_pairs_at_the_threshold_are_found(spark):
@@ -297,13 +340,20 @@ def test_plans_hold_every_constraint_and_equal_the_choice_piece_by_piece(cap, se
 
 
 def test_each_constraint_and_each_weight_changes_the_plan():
-    rng = random.Random(14)
-    histogram = {n: rng.randint(1, 40) for n in range(1, 44)}
-    plans = [packing.plan_packing(histogram, c) for c in (packing.Capacity(64, 64, 4096), packing.Capacity(64, 4, 4096), packing.Capacity(64, 64, 1950), packing.Capacity(64, 64, 4096, (0.1, 3, 0)), packing.Capacity(64, 64, 4096, (0.1, 0, 3)), packing.Capacity(64, 64, 4096, score="dot"))]
-    seen = [sorted(map(tuple, map(sorted, contents(p, histogram).values()))) for p in plans]
-    assert all(a != b for i, a in enumerate(seen) for b in seen[:i])
-    tokens = sum(n * c for n, c in histogram.items())
-    assert plans[0].sequences <= -(-tokens // 64) + 1 < plans[1].sequences and plans[2].sequences > plans[0].sequences
+    def with_the_last(histogram, **how):
+        """The sequence that takes the piece of 10."""
+        where = contents(packing.plan_packing(histogram, packing.Capacity(64, **({"documents": 64, "attention": 4096} | how))), histogram)
+        return sorted(n for _, n in next(p for p in where.values() if 10 in [n for _, n in p]))
+
+    # 13 tokens are left beside one document, or 14 beside two
+    one = {51: 1, 25: 2, 10: 1}
+    assert with_the_last(one, weights=(1, 0, 0)) == [10, 51]
+    assert with_the_last(one, weights=(0.1, 3, 0)) == [10, 25, 25] == with_the_last(one, weights=(1, 0, 0), score="dot")
+    assert with_the_last(one, weights=(1, 0, 0), attention=2650) == [10, 25, 25]
+    # 14 tokens are left beside one document (and much attention), or 13 beside two
+    two = {50: 1, 26: 1, 25: 1, 10: 1}
+    assert with_the_last(two, weights=(1, 0, 0)) == [10, 25, 26]
+    assert with_the_last(two, weights=(0.1, 0, 3)) == [10, 50] == with_the_last(two, weights=(1, 0, 0), documents=2)
 
 
 def test_packing_of_documents(spark):
