@@ -131,7 +131,7 @@ def test_classes_equal_those_of_all_pairs(spark, groups):
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()}
     assert all(label[i] == label[c] for i, c in found.items())  # no class joins what no chain of links joins
     assert sum(found[i] == found[j] for i, j in links) >= 0.98 * len(links)
-    members, pairs = near_dedup.near_duplicates(d)
+    members, pairs, _ = near_dedup.near_duplicates(d)
     assert {(r["b"], r["a"]) for r in pairs.collect()} <= set(links) and members.count() == len(texts)
 
 
