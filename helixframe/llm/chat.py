@@ -4,25 +4,31 @@ Template. A turn is `<s>` role `[INST]` text `[/INST]</s>`. Control strings insi
 backslash after their first character, and backslashes are doubled, so that no control string of a text is taken for
 one of the template and unescape() gives the text back.
 
+Tokens. Head, body and end of a turn are tokenized apart by a byte-level vocabulary, so that texts come back whole
+and the loss mask begins and ends between tokens. Each turn of a tree is tokenized once, whoever shares it.
+
 Trees. Conversations are ordered by the chain of their turns' digests, so conversations with equal first turns stand
 side by side and a turn stands before all that follow it: a depth-first walk of the tree. Range partitioning by that
-chain, and then by id, deals out a first turn (or a whole conversation) that is very common over many tasks; a tree is
-also closed when its text gets longer than `most_chars`. Each task reads its range in order and keeps the current path
-only.
+chain, and then by id, deals out a first turn (or a whole conversation) that is very common over many tasks. Each task
+reads its range in order and keeps the current path only. A tree is one row, so one with more than `most_tokens`
+tokens or `most_conversations` conversations is continued in another, which begins with the current path again: shared
+turns are put out once in each row, and a row holds all that its tokens may attend to.
 
-A tree's row has its text and one segment for each turn: its place [start, end), the position id of its first
-character (positions run on from the parent's), the intervals of its ancestors, which with its own preceding
-characters are all it may attend to, its loss interval if an assistant says it, and the conversations that end there.
-Characters (code points) are the units; a tokenizer's offsets map them to tokens.
+A tree's row has its tokens and one segment for each turn: its place [start, end), the position id of its first
+token (positions run on from the parent's), the intervals of its ancestors, which with its own preceding tokens are all
+it may attend to, its loss interval if an assistant says it, and the conversations that end there.
 
 Defined results: null texts and roles are empty; turns of equal number are ordered by role and text, repeated rows are
-turns of their own; rows without a conversation id are one conversation; an empty table gives no trees. A conversation
-must fit a row.
+turns of their own; each row without a conversation id is a conversation of its own; an empty table gives no trees;
+other columns, whatever their names, are not looked at. A conversation must fit a row; a very long text is one segment
+(and closes its tree).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -63,20 +69,35 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 SEGMENT = "start:long,end:long,parent:int,position:long,attends:array<struct<start:long,end:long>>,loss_start:long,loss_end:long,conversations:array<{kind}>"
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Tree:
-    def __init__(self):
-        self.parts: list[str] = []
-        self.length = 0
+    def __init__(self, vocabulary: str):
+        self.encode = tokenizer(vocabulary).encode_batch_fast
+        self.tokens: list[int] = []
         self.segments: list[dict] = []
         self.path: list[tuple[str, str, int]] = []  # role, text, number of the segment
+        self.ends = 0
+
+    def shared(self, turns: list[tuple[str, str]]) -> int:
+        """How many first turns the path so far has in common."""
+        n = 0
+        while n < min(len(self.path), len(turns)) and self.path[n][:2] == turns[n]:
+            n += 1
+        return n
 
     def add(self, turns: list[tuple[str, str]], conversation, learns: str) -> None:
-        shared = 0
-        while shared < min(len(self.path), len(turns)) and self.path[shared][:2] == turns[shared]:
-            shared += 1
-        del self.path[shared:]
-        for role, text in turns[shared:]:
-            piece, begin, end = format_turn(role, text)
+        known = self.shared(turns)
+        del self.path[known:]
+        for role, text in turns[known:]:
+            parts = [e.ids for e in self.encode([OPEN + escape(role) + SAYS, escape(text), CLOSE], add_special_tokens=False)]
+            begin = len(self.tokens) + len(parts[0])
             parent = self.path[-1][2] if self.path else -1
             attends: list[dict] = []
             position = 0
@@ -90,18 +111,22 @@ class Tree:
                     attends.append({"start": above["start"], "end": above["end"]})
             loss = role == learns
             self.path.append((role, text, len(self.segments)))
-            self.segments.append({"start": self.length, "end": self.length + len(piece), "parent": parent, "position": position, "attends": attends, "loss_start": self.length + begin if loss else None, "loss_end": self.length + end if loss else None, "conversations": []})
-            self.parts.append(piece)
-            self.length += len(piece)
+            start = len(self.tokens)
+            for ids in parts:
+                self.tokens += ids
+            self.segments.append({"start": start, "end": len(self.tokens), "parent": parent, "position": position, "attends": attends, "loss_start": begin if loss else None, "loss_end": begin + len(parts[1]) if loss else None, "conversations": []})
         self.segments[self.path[-1][2]]["conversations"].append(conversation)
+        self.ends += 1
 
 
-def build_trees(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learns: str = "assistant", most_chars: int = 1 << 18) -> DataFrame:
-    """(text, segments): one row for each tree."""
+def build_trees(df: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learns: str = "assistant", most_tokens: int = 1 << 16, most_conversations: int = 2000) -> DataFrame:
+    """(tokens, segments): one row for each tree. vocabulary: file of a byte-level vocabulary for the tokenizers library."""
     kind = df.schema[conv_col].dataType.simpleString()
     spark = df.sparkSession
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = df.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = df.select(F.col(conv_col).alias("conv"), turn.alias("turn"))
+    whole = rows.filter("conv is not null").groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    whole = whole.unionByName(rows.filter("conv is null").select("conv", F.array("turn").alias("turns")))
     whole = whole.select("conv", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
     turns_type = "array<struct<role:string,text:string>>"
 
@@ -118,53 +143,51 @@ def build_trees(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     chained = map_arrow(whole, chain, f"path binary, conv {kind}, turns {turns_type}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = chained.repartitionByRange(parts, "path", "conv").sortWithinPartitions("path", "conv")
-    schema = f"text string, segments array<struct<{SEGMENT.format(kind=kind)}>>"
+    schema = f"tokens array<int>, segments array<struct<{SEGMENT.format(kind=kind)}>>"
     wanted = arrow_schema(schema)
     small_batches(spark)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ends = Tree(), 0
-        put = lambda t: pa.RecordBatch.from_pylist([{"text": "".join(t.parts), "segments": t.segments}], schema=wanted)
+        tree = Tree(vocabulary)
+        put = lambda t: pa.RecordBatch.from_pylist([{"tokens": t.tokens, "segments": t.segments}], schema=wanted)
         for batch in batches:
             for conv, turns in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = [(t["role"], t["text"]) for t in turns]
-                if tree.path and (tree.path[0][:2] != turns[0] or tree.length >= most_chars or ends >= 2000):
+                if tree.path and (not tree.shared(turns) or len(tree.tokens) >= most_tokens or tree.ends >= most_conversations):
                     yield put(tree)
-                    tree, ends = Tree(), 0
+                    tree = Tree(vocabulary)
                 tree.add(turns, conv, learns)
-                ends += 1
         if tree.path:
             yield put(tree)
 
     return ordered.mapInArrow(walk, schema)
 
 
-def read_tree(text: str, segments: list[dict]) -> Iterator[dict]:
+def read_tree(tokens: list[int], segments: list[dict], vocabulary: str) -> Iterator[dict]:
     """What each distinct conversation of a tree says: (conversations, formatted, turns, text under the loss mask)."""
-    for s in segments:
+    decode = tokenizer(vocabulary).decode_batch
+    texts = decode([tokens[s["start"] : s["end"]] for s in segments], skip_special_tokens=False)
+    losses = decode([tokens[s["loss_start"] : s["loss_end"]] if s["loss_start"] is not None else [] for s in segments], skip_special_tokens=False)
+    for k, s in enumerate(segments):
         if not s["conversations"]:
             continue
-        line, at = [], s
-        while True:
-            line.append(at)
-            if at["parent"] < 0:
-                break
-            at = segments[at["parent"]]
+        line = [k]
+        while (above := segments[line[-1]]["parent"]) >= 0:
+            line.append(above)
         line.reverse()
-        formatted = "".join(text[x["start"] : x["end"]] for x in line)
-        loss = "".join(unescape(text[x["loss_start"] : x["loss_end"]]) for x in line if x["loss_start"] is not None)
-        yield {"conversations": s["conversations"], "formatted": formatted, "turns": parse_turns(formatted), "loss": loss}
+        formatted = "".join(texts[x] for x in line)
+        yield {"conversations": s["conversations"], "formatted": formatted, "turns": parse_turns(formatted), "loss": "".join(unescape(losses[x]) for x in line)}
 
 
-def read_back(trees: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def read_back(trees: DataFrame, vocabulary: str, conv_col: str = "conv_id") -> DataFrame:
     """Each conversation, parsed from the trees: counts and digests of its turns and of its text under the loss mask."""
     kind = trees.schema["segments"].dataType.elementType["conversations"].dataType.elementType.simpleString()
     schema = f"{conv_col} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def one(batch: pa.RecordBatch) -> dict:
         rows = []
-        for text, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for c in read_tree(text, segments):
+        for row in range(batch.num_rows):
+            for c in read_tree(batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), vocabulary):
                 turns = "".join(f"{r}\n{t}\n" for r, t in c["turns"])
                 found = (len(c["turns"]), hashlib.sha256(turns.encode("utf-8", "replace")).hexdigest(), len(c["loss"]), hashlib.sha256(c["loss"].encode("utf-8", "replace")).hexdigest(), len(c["formatted"]))
                 rows += [(x, *found) for x in c["conversations"]]
@@ -175,11 +198,11 @@ def read_back(trees: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 
 def position_ids(segments: list[dict]) -> list[int]:
-    """The position id of every character of a tree's text."""
+    """The position id of every token of a tree."""
     return [p for s in segments for p in range(s["position"], s["position"] + s["end"] - s["start"])]
 
 
 def may_attend(segments: list[dict], query: int, key: int) -> bool:
-    """Whether the character at `query` may attend to the one at `key`."""
+    """Whether the token at `query` may attend to the one at `key`."""
     own = next(s for s in segments if s["start"] <= query < s["end"])
     return own["start"] <= key <= query or any(i["start"] <= key < i["end"] for i in own["attends"])

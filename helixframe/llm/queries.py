@@ -28,7 +28,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.schema)
-    return read_back(build_trees(rows.unionByName(extra)))
+    tokens = vocabulary("byte_bpe_50k.json")
+    return read_back(build_trees(rows.unionByName(extra), tokens), tokens)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +54,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive, read_all
 
-    _, directory = archive(table(spark, sf_dir, "pages"), least_bytes=1000)
-    return read_all(directory)
+    pages = table(spark, sf_dir, "pages")
+    _, directory = archive(pages, least_bytes=1000)
+    return read_all(pages, directory)
 
 
-#: The contract's rules, and the entries that decide where none of them fits.
+#: The contract's rules.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-URL_LIST = [("block", "ads-track.example.com/"), ("block", "ads-track.example.net/"), ("block", "ads-track.example.org/")]
+#: The list that decides where none of them fits: hosts named by two of these words, and paths, at every top level.
+LIST_WORDS = (
+    ("ads", "adult", "bet", "bonus", "casino", "cheap", "click", "free", "loan", "pills", "poker", "spam"),
+    ("best", "bets", "bonus", "club", "deal", "farm", "now", "online", "pills", "shop", "track", "win", "x", "zone"),
+)
+LIST_PATHS = ("/ads/", "/banner/", "/click/", "/popup/", "/redirect/", "/track/")
+TOP_LEVELS = ("com", "net", "org")
+URL_LIST = [("block", f"{a}-{b}.example.{t}/") for a in LIST_WORDS[0] for b in LIST_WORDS[1] for t in TOP_LEVELS] + [("block", f"{t}{p}") for p in LIST_PATHS for t in TOP_LEVELS]
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,17 +126,21 @@ _ESCAPES = (
 )
 _SAYS = "'</s>[INST] ok [/INST]'"
 
+_LISTED = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}', true)" for v, r in URL_LIST)
+#: Rows without a conversation id are conversations of their own.
+_OWN = "case when conv_id is null then row_number() over () end"
+
 SQL: dict[str, str] = {
     "op2_chat_format": f"""
         with turns as (
-            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-            union all select -7, 0, 'user', {_SAYS} union all select -7, 1, 'assistant', {_SAYS})
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, {_OWN} as own from conversations
+            union all select -7, 0, 'user', {_SAYS}, null union all select -7, 1, 'assistant', {_SAYS}, null)
         select conv_id, count(*) as n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
             sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
             cast(sum(length('<s>[INST][/INST]</s>') + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")}) as bigint) as formatted_chars
-        from turns group by conv_id""",
+        from turns group by conv_id, own""",
     "op6_warc": f"""
         with marked as (
             select page_id, {_BYTES} as payload_bytes, {_DIGEST} as payload_digest, {_LAST} as last_id
@@ -136,7 +149,7 @@ SQL: dict[str, str] = {
             case when payload_bytes >= 1000 and page_id < last_id then 'revisit' else 'response' end as record_type,
             case when payload_bytes >= 1000 and page_id < last_id then last_id end as refers_to
         from marked""",
-    "op7_url_filter": """
+    "op7_url_filter": f"""
         with parts as (
             select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
                 coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
@@ -144,7 +157,7 @@ SQL: dict[str, str] = {
         rules(rule_host, rule_path, rule_verdict, listed) as (values
             ('com', '/en/', 'block', false), ('example.com', '/en/7', 'allow', false), ('net', '/de/', 'block', false),
             ('example.net', '/de/8', 'block', false), ('org', '/es/', 'block', false),
-            ('ads-track.example.com', '/', 'block', true), ('ads-track.example.net', '/', 'block', true), ('ads-track.example.org', '/', 'block', true)),
+            {_LISTED}),
         fits as (
             select *, row_number() over (partition by page_id, host, path order by listed, length(rule_host || rule_path) desc, length(rule_host) desc) as k
             from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))

@@ -6,19 +6,22 @@ a retried task leaves whole files only; the index names the files of the tasks t
 
 Index. A capture's key is its URL with the host's labels reversed (`com,example,www)/path`), then its id. Captures are
 range-partitioned and sorted by key; every `BLOCK` of them is one compressed block of lines. A directory keeps one row
-for each block: its first key and its place. The directory is sparse (one row for BLOCK captures) and itself a file
-that readers memory-map and search by bisection.
+for each block: its first key and its place. The directory is sparse (one row for BLOCK captures) and itself a file of
+Arrow batches, of which a reader maps (or, on a store that can't be mapped, fetches) those that a bisection visits.
 
-Reading. A lookup bisects the directory, reads one block by range, bisects its lines and reads each record by range.
-Reading everything visits each block once and reads its records in the order of their places, adjacent ones together.
+Reading. A lookup bisects the directory for (key, id), reads one block by range and bisects its lines for the record's
+place. Looking up a whole table sorts the wanted keys, so each block is read once; the places found are dealt out by
+archive file and stretch and read there in order, adjacent records together.
 
-Defined results: a null html is an empty payload; a null URL has the key `-`; repeated rows each give a record;
-several captures of one URL are told apart by id; an empty table gives no archives and an empty result.
+Defined results: a null html is an empty payload, a very long one is one record; a null URL has the key `-`; repeated
+rows each give a record; several captures of one URL are told apart by id; an empty table gives no archives and an
+empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import io
 import json
@@ -214,23 +217,57 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return materialise(sorted_.mapInArrow(run, schema), "directory")
 
 
+#: Rows of the directory in a batch of its file.
+DIRECTORY_ROWS = 10_000
+
+
 def save_directory(directory: DataFrame, folder: str) -> str:
-    """The directory, sorted, as one Arrow file that a reader can memory-map; rows pass the driver one by one."""
+    """The directory, sorted, as one Arrow file; a stream of its rows passes the driver, DIRECTORY_ROWS at a time."""
     path = f"{folder}/directory.arrow"
     fs, inner = open_fs(path)
     fs.create_dir(os.path.dirname(inner), recursive=True)
     schema = arrow_schema(directory.schema)
-    with fs.open_output_stream(inner) as sink, pa.ipc.new_file(sink, schema) as out:
+    with fs.open_output_stream(f"{inner}.part", compression=None) as sink, pa.ipc.new_file(sink, schema) as out:
         rows = []
-        for r in directory.orderBy("first_key", "first_id").toLocalIterator():
+        for r in directory.orderBy("first_key", "first_id", "file", "offset").toLocalIterator():
             rows.append(r.asDict())
-            if len(rows) == 10_000:
+            if len(rows) == DIRECTORY_ROWS:
                 out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
                 rows = []
-        out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
+        if rows:
+            out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
+    fs.move(f"{inner}.part", inner)
     return path
 
 
+def order(key: str, page_id) -> tuple:
+    """How captures are sorted: by key, then by id, those without one first."""
+    return (key.encode(), page_id is not None, page_id if page_id is not None else 0)
+
+
+class Directory:
+    """The saved directory: rows by number, in batches that are mapped or fetched when a bisection visits them."""
+
+    def __init__(self, path: str):
+        fs, inner = open_fs(path)
+        self.file = pa.ipc.open_file(pa.memory_map(inner) if fs.type_name == "local" else fs.open_input_file(inner))
+        self.batch = functools.lru_cache(maxsize=64)(self.file.get_batch)
+        batches = self.file.num_record_batches
+        self.rows = (batches - 1) * DIRECTORY_ROWS + self.batch(batches - 1).num_rows if batches else 0
+
+    def row(self, k: int) -> dict:
+        batch, at = self.batch(k // DIRECTORY_ROWS), k % DIRECTORY_ROWS
+        return {name: batch.column(i)[at].as_py() for i, name in enumerate(batch.schema.names)}
+
+    def first(self, k: int) -> tuple:
+        batch, at = self.batch(k // DIRECTORY_ROWS), k % DIRECTORY_ROWS
+        return order(batch.column(0)[at].as_py(), batch.column(1)[at].as_py())
+
+    def last_before(self, wanted: tuple) -> int:
+        """The last block that begins before wanted, or else the first: where captures of that order begin."""
+        return max(0, bisect_left(range(self.rows), wanted, key=self.first) - 1)
+
+
 def block_lines(store: Store, file: str, offset: int, length: int) -> list[tuple[str, dict]]:
     text = zlib.decompress(store.read(file, offset, length), 31).decode()
     return [(k, json.loads(v)) for k, v in (x.split(" ", 1) for x in text.splitlines())]
@@ -264,10 +301,67 @@ def summary(found: dict) -> dict:
     }
 
 
-def read_all(directory: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Every capture, block by block: (id, payload_bytes, payload_digest, record_type, refers_to)."""
-    kind = directory.schema["first_id"].dataType.simpleString()
-    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+class Index:
+    """Bisected lookups: the directory, then one block after another from where the wanted captures begin."""
+
+    def __init__(self, directory_file: str):
+        self.directory = Directory(directory_file)
+        self.store = Store()
+        self.block = functools.lru_cache(maxsize=2)(self._block)
+
+    def _block(self, k: int) -> tuple[list[tuple], list[dict]]:
+        b = self.directory.row(k)
+        lines = block_lines(self.store, b["file"], b["offset"], b["length"])
+        return [order(key, place["id"]) for key, place in lines], [place for _, place in lines]
+
+    def places(self, low: tuple, high: tuple) -> Iterator[dict]:
+        """The places of the captures from low to high, both included."""
+        k = self.directory.last_before(low)
+        while k < self.directory.rows and self.directory.first(k) <= high:
+            orders, places = self.block(k)
+            yield from places[bisect_left(orders, low) : bisect_right(orders, high)]
+            k += 1
+
+    def lookup(self, url: str | None) -> list[dict]:
+        """All captures of a URL, by id, with their payloads."""
+        key = surt(url).encode()
+        found = list(self.places((key, False, 0), (key + b"\0", False, 0)))
+        ids = [p["id"] for p in found]
+        return sorted(read_places(self.store, found), key=lambda f: ids.index(f["place"]["id"]))
+
+
+#: Bytes of an archive file that are read in one place.
+STRETCH = 64 << 20
+
+
+def find_places(pages: DataFrame, directory_file: str, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, file, offset, length) of the captures of every page (id, url), by bisected lookups in the order of keys."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    spark = pages.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = map_arrow(pages.select(id_col, url_col), lambda b: {"key": list(map(surt, b.column(1).to_pylist())), "id": b.column(0)}, f"key string, id {kind}")
+    ordered = keyed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+    schema = f"id {kind}, file string, offset long, length long"
+    wanted = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, last = Index(directory_file), None
+        for batch in batches:
+            rows = []
+            for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = order(key, page_id)
+                if own != last:  # repeated rows: their captures are found together
+                    rows += index.places(own, own)
+                last = own
+            yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def read_captures(places: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, payload_bytes, payload_digest, record_type, refers_to) of the records at the places, read by range."""
+    kind = places.schema["id"].dataType.simpleString()
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = f"{id_col} {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
     wanted = arrow_schema(schema)
     number = wanted.field("refers_to").type
@@ -275,43 +369,22 @@ def read_all(directory: DataFrame, id_col: str = "page_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store()
         for batch in batches:
-            for block in batch.to_pylist():
-                places = [p for _, p in block_lines(store, block["file"], block["offset"], block["length"])]
-                rows = [{id_col: f["place"]["id"]} | summary(f) for f in read_places(store, places)]
-                for r in rows:
-                    r["refers_to"] = None if r["refers_to"] is None else r["refers_to"] if pa.types.is_string(number) else int(r["refers_to"])
-                yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+            rows = [{id_col: f["place"]["id"]} | summary(f) for f in read_places(store, batch.to_pylist())]
+            for r in rows:
+                r["refers_to"] = None if r["refers_to"] is None else r["refers_to"] if pa.types.is_string(number) else int(r["refers_to"])
+            yield pa.RecordBatch.from_pylist(rows, schema=wanted)
 
-    return directory.repartition(parts, "file", "offset").mapInArrow(run, schema)
+    by_place = places.repartition(parts, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    return by_place.mapInArrow(run, schema)
 
 
-class Captures:
-    """Lookups in an index: bisect the memory-mapped directory, then one block, then read records by range."""
+def read_all(pages: DataFrame, directory_file: str, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """What the archives say of every page: each is looked up in the index by its key and read from its place."""
+    return read_captures(find_places(pages, directory_file, id_col, url_col), id_col)
 
-    def __init__(self, directory_file: str):
-        fs, inner = open_fs(directory_file)
-        source = pa.memory_map(inner) if fs.type_name == "local" else fs.open_input_file(inner)
-        self.table = pa.ipc.open_file(source).read_all()
-        self.keys = self.table.column("first_key")
-        self.store = Store()
 
-    def lookup(self, url: str) -> list[dict]:
-        """All captures of a URL, by id, with their payloads."""
-        key = surt(url)
-        low = max(0, bisect_left(self.keys, key, key=lambda x: x.as_py()) - 1)
-        high = bisect_right(self.keys, key, key=lambda x: x.as_py())
-        places = []
-        for k in range(low, high):
-            b = {c: self.table.column(c)[k].as_py() for c in ("file", "offset", "length")}
-            lines = block_lines(self.store, b["file"], b["offset"], b["length"])
-            names = [x for x, _ in lines]
-            places += [p for _, p in lines[bisect_left(names, key) : bisect_right(names, key)]]
-        return sorted(read_places(self.store, places), key=lambda f: f["place"]["id"])
-
-
-def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
-    """Write archives and index of all pages; (folder, directory)."""
+def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, str]:
+    """Write archives, index and directory of all pages; (folder, directory file)."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
     captures = write_archives(pages, f"{folder}/archive", least_bytes, id_col, url_col, html_col)
-    directory = write_index(captures, f"{folder}/index")
-    return folder, directory
+    return folder, save_directory(write_index(captures, f"{folder}/index"), folder)

@@ -220,64 +220,102 @@ def test_escapes_are_reversible():
         assert chat.unescape(chat.escape(x)) == x and not chat._CONTROL.search(chat.escape(x))
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def plain_trees(own):
+    """Number of distinct first turns' chains: what a single tree of all conversations puts out."""
+    return {tuple(turns[: k + 1]) for turns in own for k in range(len(turns))}
+
+
 def test_chat_trees(spark):
     rng = random.Random(10)
     rows = []
     for c in range(120):
         first = rng.choice(["hi", "hello", "</s>"]) if c % 3 else "very common"
         rows += [(c, 0, "user", first, "x"), (c, 1, "assistant", rng.choice(NASTY), "x"), (c, 2, rng.choice(["user", None]), None, "x"), (c, 3, "assistant", rng.choice(["same", "other"]), "x")]
-    rows += [(500, 0, "assistant", "a", "x"), (500, 0, "assistant", "a", "x"), (None, 0, "user", "lost", "x")]
+    rows += [(500, 0, "assistant", "a", "x"), (500, 0, "assistant", "a", "x"), (501, 0, "assistant", "long é " * 40_000, "x"), (None, 0, "user", "lost", "x"), (None, 0, "user", "lost", "x")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments string")
-    trees = chat.build_trees(d).collect()
+    trees = chat.build_trees(d, BYTE_BPE).collect()
     own = defaultdict(list)
     for c, turn, role, text, _ in rows:
-        own[c].append((turn, role or "", text or ""))
-    seen = {}
+        if c is not None:
+            own[c].append((turn, role or "", text or ""))
+    seen, lost = {}, []
+    library = Tokenizer.from_file(BYTE_BPE)
+    n_segments = 0
     for t in trees:
         segments = [s.asDict(recursive=True) for s in t["segments"]]
-        for found in chat.read_tree(t["text"], segments):
+        n_segments += len(segments)
+        for found in chat.read_tree(t["tokens"], segments, BYTE_BPE):
             for c in found["conversations"]:
-                seen[c] = found
+                if c is None:
+                    lost.append(found["turns"])
+                else:
+                    seen[c] = found
         positions = chat.position_ids(segments)
         for s in segments:
             above = sum(i["end"] - i["start"] for i in s["attends"])
             assert positions[s["start"]] == above == s["position"]
             if s["parent"] >= 0:
                 assert chat.may_attend(segments, s["start"], segments[s["parent"]]["start"])
-    assert set(seen) == set(own)
+        line = library.decode(t["tokens"], skip_special_tokens=False)
+        assert "".join(chat.format_turn(*x)[0] for x in chat.parse_turns(line)) == line
+    assert set(seen) == set(own) and lost == [[("user", "lost")]] * 2
     for c, turns in own.items():
         assert seen[c]["turns"] == [x[1:] for x in sorted(turns)]
         assert seen[c]["loss"] == "".join(x for _, r, x in sorted(turns) if r == "assistant")
-    read = {r["conv_id"]: r for r in chat.read_back(chat.build_trees(d)).collect()}
+    distinct = plain_trees([x[1:] for x in sorted(turns)] for turns in own.values())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(distinct) <= n_segments - 1 <= len(distinct) + 1 + 4 * parts  # a path begins anew at a border of ranges
+    read = {r["conv_id"]: r for r in chat.read_back(chat.build_trees(d, BYTE_BPE), BYTE_BPE).collect()}
     joined = "".join(f"{r}\n{x}\n" for _, r, x in sorted(own[500]))
     assert read[500]["turns_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and read[500]["n_turns"] == 2
-    assert sum(len(t["text"]) for t in trees) < sum(r["formatted_chars"] for r in read.values())
-    assert chat.build_trees(d.limit(0)).count() == 0
+    assert chat.build_trees(d.limit(0), BYTE_BPE).count() == 0
+
+
+def test_shared_tokens_are_put_out_once_a_tree(spark):
+    """5000 conversations with one first turn: it is repeated only where a row is full or a range ends."""
+    first = "the same system prompt " * 20
+    rows = [(c, t, r, x) for c in range(5000) for t, r, x in ((0, "user", first), (1, "assistant", f"answer {c}"))]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    trees = chat.build_trees(d, BYTE_BPE, most_conversations=1500).collect()
+    ends = [sum(len(s["conversations"]) for s in t["segments"]) for t in trees]
+    roots = sum(s["parent"] < 0 for t in trees for s in t["segments"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(ends) == 5000 and max(ends) <= 1500 and roots == len(trees) <= parts + 5000 // 1500
+    assert len(chat.build_trees(d, BYTE_BPE, most_tokens=2000).collect()) > len(trees)
 
 
 def test_warc_round_trip(spark, tmp_path):
     long, other = "é" * 700, "b" * 1000
-    pages = [(1, "http://a.com/x", long), (2, "http://b.com/", long), (3, None, long), (4, "http://a.com/x", "short"), (5, "http://c.org/?q=1#f", "short"), (6, "x", None), (7, "http://a.com/y", other), (7, "http://a.com/y", other)]
-    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    pages = [(1, "http://a.com/x", long), (2, "http://b.com/", long), (3, None, long), (4, "http://a.com/x", "short"), (5, "http://c.org/?q=1#f", "short"), (6, "x", None), (7, "http://a.com/y", other), (7, "http://a.com/y", other), (8, "http://é.com/ü?\n", "long " * 400_000), (None, "http://a.com/x", "no id")]
+    rows = [(*p, "clash", 1) for p in pages]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, key string, refers_to int")
     folder, directory = warc.archive(d, f"file://{tmp_path}/w")
-    found = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_all(directory).collect())
+    found = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_all(d, directory).collect()]
     sha = lambda x: hashlib.sha1((x or "").encode()).hexdigest()
     expected = [(i, len((h or "").encode()), sha(h), "revisit" if i in (1, 2) else "response", 3 if i in (1, 2) else None) for i, _, h in pages]
-    assert found == sorted(expected)
-    captures = warc.Captures(warc.save_directory(directory, folder))
-    assert [(f["place"]["id"], f["fields"]["WARC-Type"]) for f in captures.lookup("http://a.com/x")] == [(1, "revisit"), (4, "response")]
-    assert captures.lookup("http://a.com/x")[1]["payload"] == b"short" and captures.lookup("http://nowhere/") == []
-    assert captures.lookup("http://c.org/?q=1")[0]["place"]["id"] == 5
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    index = warc.Index(directory)
+    assert [(f["place"]["id"], f["fields"]["WARC-Type"]) for f in index.lookup("http://a.com/x")] == [(None, "response"), (1, "revisit"), (4, "response")]
+    assert index.lookup("http://a.com/x")[2]["payload"] == b"short" and index.lookup("http://nowhere/") == []
+    assert index.lookup("http://c.org/?q=1")[0]["place"]["id"] == 5
     _, none = warc.archive(d.limit(0), f"file://{tmp_path}/none")
-    assert warc.read_all(none).count() == 0
+    assert warc.read_all(d.limit(0), none).count() == 0 and warc.Index(none).lookup("x") == []
 
 
 def test_lookups_over_many_blocks(spark, tmp_path, monkeypatch):
-    d = spark.createDataFrame([(i, f"http://h{i % 7}.com/{i // 2}", f"p{i}") for i in range(900)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 2)
+    d = spark.createDataFrame([(i, f"http://h{i % 7}.com/{i // 2}" if i % 3 else "http://hot.com/", f"p{i}") for i in range(2400)], "page_id long, url string, html string")
     folder, directory = warc.archive(d, f"file://{tmp_path}/w")
-    captures = warc.Captures(warc.save_directory(directory, folder))
-    for i in (0, 13, 450, 899):
-        assert i in [f["place"]["id"] for f in captures.lookup(f"http://h{i % 7}.com/{i // 2}")]
+    index = warc.Index(directory)
+    assert index.directory.rows >= 8 and len({index.directory.first(k) for k in range(index.directory.rows)}) == index.directory.rows
+    for i in (1, 13, 451, 899):
+        assert i in [f["place"]["id"] for f in index.lookup(f"http://h{i % 7}.com/{i // 2}")]
+    assert [f["place"]["id"] for f in index.lookup("http://hot.com/")] == list(range(0, 2400, 3))
+    want = warc.order(warc.surt("http://hot.com/"), 999)
+    assert [p["id"] for p in index.places(want, want)] == [999]
 
 
 def contents(plan, histogram):
