@@ -31,6 +31,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -77,9 +78,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=1024)
+def frame(vocabulary: str, text: str) -> list[int]:
+    """The tokens of a part of the template, which recurs in every turn."""
+    return tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 class Tree:
     def __init__(self, vocabulary: str):
-        self.encode = tokenizer(vocabulary).encode_batch_fast
+        self.vocabulary = vocabulary
         self.tokens: list[int] = []
         self.segments: list[dict] = []
         self.path: list[tuple[str, str, int]] = []  # role, text, number of the segment
@@ -96,7 +103,8 @@ class Tree:
         known = self.shared(turns)
         del self.path[known:]
         for role, text in turns[known:]:
-            parts = [e.ids for e in self.encode([OPEN + escape(role) + SAYS, escape(text), CLOSE], add_special_tokens=False)]
+            body = tokenizer(self.vocabulary).encode_batch_fast([escape(text)], add_special_tokens=False)[0].ids
+            parts = [frame(self.vocabulary, OPEN + escape(role) + SAYS), body, frame(self.vocabulary, CLOSE)]
             begin = len(self.tokens) + len(parts[0])
             parent = self.path[-1][2] if self.path else -1
             attends: list[dict] = []
@@ -166,8 +174,10 @@ def build_trees(df: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_
 def read_tree(tokens: list[int], segments: list[dict], vocabulary: str) -> Iterator[dict]:
     """What each distinct conversation of a tree says: (conversations, formatted, turns, text under the loss mask)."""
     decode = tokenizer(vocabulary).decode_batch
-    texts = decode([tokens[s["start"] : s["end"]] for s in segments], skip_special_tokens=False)
-    losses = decode([tokens[s["loss_start"] : s["loss_end"]] if s["loss_start"] is not None else [] for s in segments], skip_special_tokens=False)
+    cuts = [[s["start"], s["end"]] if s["loss_start"] is None else [s["start"], s["loss_start"], s["loss_end"], s["end"]] for s in segments]
+    parts = iter(decode([tokens[a:b] for c in cuts for a, b in pairwise(c)], skip_special_tokens=False))
+    parts = [[next(parts) for _ in c[1:]] for c in cuts]
+    texts, losses = ["".join(p) for p in parts], [p[1] if len(p) == 3 else "" for p in parts]
     for k, s in enumerate(segments):
         if not s["conversations"]:
             continue

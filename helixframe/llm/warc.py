@@ -95,14 +95,6 @@ def parse(data: bytes) -> dict:
     return {"fields": fields, "http": dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), "payload": payload}
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The contents of consecutive gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = z.unused_data
-
-
 def page_number(urn: str):
     return urn.removeprefix("<urn:page:").removesuffix(">")
 
@@ -283,8 +275,10 @@ def read_places(store: Store, places: list[dict]) -> Iterator[dict]:
         while end < len(places) and places[end]["file"] == first["file"] and places[end]["offset"] == stop and stop - first["offset"] < READ_BYTES:
             stop += places[end]["length"]
             end += 1
-        for place, data in zip(places[at:end], members(store.read(first["file"], first["offset"], stop - first["offset"])), strict=True):
-            yield {"place": place} | parse(data)
+        data = memoryview(store.read(first["file"], first["offset"], stop - first["offset"]))
+        for place in places[at:end]:
+            begin = place["offset"] - first["offset"]
+            yield {"place": place} | parse(zlib.decompress(data[begin : begin + place["length"]], 31))
         at = end
 
 
