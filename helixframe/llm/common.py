@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 #: Rows that a function of map_arrow gets at most.
 BATCH_ROWS = 2000
 #: Bytes of an Arrow batch that goes to a Python worker: a bound whatever the texts' length (one row may exceed it).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise
 
 #: Distinct words remembered in each of two generations (some 150 bytes an entry).
-WORDS = 300_000
+WORDS = 150_000
 #: Rows that are cut and looked up together: more rows share more words, fewer hold less memory.
 ROWS = 2000
 
@@ -170,11 +170,14 @@ def cut_pieces(df: DataFrame, vocabulary: str, max_tokens: int, end_id: int, id_
                     size = min(max_tokens, n - start)
                     own = data[4 * (low + start) : 4 * min(low + start + size, high)]
                     crc = zlib.crc32(own)
+                    del own
                     out["row"].append(row)
                     out["piece"].append(k)
                     out["start"].append(start)
                     out["length"].append(size)
                     out["ids_crc32"].append(zlib.crc32(end, crc) if start + size == n else crc)
+            del texts, ids, data, at
+            pa.default_memory_pool().release_unused()
         return out | {"id": batch.column(0).take(pa.array(out["row"], pa.int64()))}
 
     return map_arrow(df.select(id_col, text_col), one, PIECES.format(kind=kind))
