@@ -79,6 +79,13 @@ def overlaps(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -
     return (a_start < b_stop) & (a_stop > b_start)
 
 
+def compare(start_a: Column, stop_a: Column, start_b: Column, stop_b: Column) -> Column:
+    """-1, 0 or 1 as range a comes before, with or behind range b: by start, then by stop."""
+    before = (start_a < start_b) | ((start_a == start_b) & (stop_a < stop_b))
+    same = (start_a == start_b) & (stop_a == stop_b)
+    return F.when(before, -1).when(same, 0).otherwise(1)
+
+
 def contains(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -> Column:
     return (a_start <= b_start) & (b_stop <= a_stop)
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LETTERS, COMPLEMENTS = "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"
 #: Letters of nucleotide sequences, with gaps.
 NUCLEOTIDES = "ACGTRYSWKMBDHVNU.-"
+#: Where a FASTA header's first word has its id; behind a GenBank mark, behind another database's, at its begin.
+HEADER_IDS = (r"^\S*gb[|:]([^\s,;|]+)", r"^\S*(?:emb|dbj|sp|tr|ref|lcl)\|([^\s,;|]+)", r"^([^\s,;|]+)")
 
 
 def col(c: Column | str) -> Column:
@@ -145,13 +147,6 @@ def slice_ungapped(data: Column | str, start: int | None, stop: int | None, gap:
 
 
 def id_from_header(header: Column | str) -> Column:
-    """Sequence id of a FASTA header: the accession of a database-style header, else the first word.
-
-    Words end at a space, comma, semicolon or bar. A header that begins with a space has no id.
-    """
+    """Sequence id of a FASTA header: the first of HEADER_IDS that its first word has; null if none fits."""
     header = col(header)
-    gb = F.regexp_extract(header, r"gb\|([^|\s]+)\|", 1)
-    other = F.regexp_extract(header, r"(?:emb|dbj|sp|tr|ref|lcl)\|([^|\s]+)", 1)
-    word = F.regexp_extract(header, r"^([^\s,;|]+)", 1)
-    known = F.coalesce(F.nullif(gb, F.lit("")), F.nullif(other, F.lit("")), F.nullif(word, F.lit("")))
-    return F.when(~header.startswith(" "), known)
+    return F.coalesce(*(F.nullif(F.regexp_extract(header, p, 1), F.lit("")) for p in HEADER_IDS))

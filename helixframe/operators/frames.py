@@ -139,6 +139,14 @@ def annotation_rows(fts: DataFrame, seqs: DataFrame, inner: str = "-", outer: st
     return joined.mapInArrow(run, "id string, row string")
 
 
+def raw_lines(fts: DataFrame) -> DataFrame:
+    """(ord, k, line): one line for each location: type, start, stop, strand, name, id and seqid, a dot for what lacks."""
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in fts.columns else F.lit(".")
+    each = fts.select("ord", *(dot(c).alias(c) for c in ("type", "name", "id", "seqid")), F.posexplode("locs").alias("k", "loc"))
+    fields = ["type", F.col("loc.start").cast("string"), F.col("loc.stop").cast("string"), "loc.strand", "name", "id", "seqid"]
+    return each.select("ord", "k", F.concat_ws(" ", *fields).alias("line"))
+
+
 def replace_items(df: DataFrame, new: DataFrame) -> DataFrame:
     """df with the rows of new in place of those with the same ord."""
     return df.join(new.select("ord").distinct(), "ord", "left_anti").unionByName(new.select(*df.columns))

@@ -69,6 +69,25 @@ def extract_type(seqs: DataFrame, fts: DataFrame, type: str, strict: bool = True
     return joined.withColumn("data", F.when(F.col("_locs").isNull(), missing).otherwise(cut) if strict else cut).select(*seqs.columns)
 
 
+def attach_one(seqs: DataFrame, fts: DataFrame, ord_: int, replace: bool = True, old: DataFrame | None = None) -> DataFrame:
+    """(seq_ord, feature columns) with fts as the features of sequence ord_, whatever their seqid.
+
+    old: the features attached so far; replace takes ord_'s away, else the new ones join them, ordered by place.
+    """
+    owner = seqs.filter(F.col("ord") == ord_).select(F.col("ord").alias("seq_ord"))
+    new = fts.join(F.broadcast(owner), how="cross").select("seq_ord", *fts.columns)  # one row
+    if old is None:
+        return new
+    rest = old.filter(F.col("seq_ord") != ord_) if replace else old
+    return rest.select(*new.columns).unionByName(new).orderBy("seq_ord", "start", "stop", "ord")
+
+
+def concatenate(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sequence by sequence (of equal ord), a's data followed by b's; all else is a's."""
+    other = b.select("ord", F.col("data").alias("_more"))
+    return a.join(other, "ord").withColumn("data", F.concat("data", "_more")).select(*a.columns)
+
+
 def first_of_id(seqs: DataFrame) -> DataFrame:
     """The first sequence of each id."""
     w = Window.partitionBy("id").orderBy("ord")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers, reverse_complement
+from ..functions.sequence import COMPLEMENTS, LETTERS, reverse_complement
+from .codes import bases, codons, complement_table, marked, raw
 
 #: Start and stop codons in both spellings.
 START_CODONS = ("AUG", "ATG")
@@ -27,32 +31,43 @@ def frames(rf: int | str | Sequence[int]) -> tuple[int, ...]:
     return tuple(f for f in FRAMES if f in wanted)
 
 
-def with_strands(seqs: DataFrame, rf: tuple[int, ...]):
-    """(seq_ord, seqid, seqlen, strand, text) for the strands that the frames need."""
-    both = []
-    if any(f >= 0 for f in rf):
-        both.append(F.struct(F.lit("+").alias("strand"), F.col("data").alias("text")))
-    if any(f < 0 for f in rf):
-        both.append(F.struct(F.lit("-").alias("strand"), reverse_complement("data").alias("text")))
-    strands = seqs.select(F.col("ord").alias("seq_ord"), F.col("id").alias("seqid"), F.length("data").alias("seqlen"), F.explode(F.array(*both)).alias("s"))
-    return strands.select("seq_ord", "seqid", "seqlen", "s.strand", "s.text")
+def match_codons(seqs: DataFrame, words: Sequence[str], rf: int | str | Sequence[int] = "fwd", start: int = 0) -> DataFrame:
+    """All places of codons that can't overlap each other, such as start or stop codons; one vectorised pass."""
+    wanted = frames(rf)
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            letters, offsets = raw(batch.column(2))
+            table, parts = marked(tuple(words)), []
+            for k, (low, high) in enumerate(pairwise(offsets.tolist())):
+                own = bases(letters[low:high])
+                for strand in (1, -1):
+                    if not any((f >= 0) == (strand > 0) for f in wanted):
+                        continue
+                    at = np.flatnonzero(table[codons(own if strand > 0 else complement_table()[own[::-1]])])
+                    frame = (at - start) % 3
+                    signed = frame if strand > 0 else -frame - 1
+                    keep = (at >= start) & np.isin(signed, wanted)
+                    at, signed = at[keep], signed[keep]
+                    parts.append((np.full(len(at), k), np.full(len(at), high - low), signed, at if strand > 0 else high - low - at - 3, at))
+            if not parts:
+                continue
+            row, size, signed, begin, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            # a word is read where it lies: forward as it is, backward from its complement
+            texts = [_word(letters[offsets[k] + b : offsets[k] + b + 3].tobytes().decode("latin1"), s < 0) for k, b, s in zip(row.tolist(), begin.tolist(), signed.tolist(), strict=True)]
+            values = [batch.column(0).take(pa.array(row)).cast(pa.int64()), batch.column(1).take(pa.array(row)).cast(pa.string()), *(pa.array(x, pa.int32()) for x in (size, signed, begin, begin + 3, at, at + 3)), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(values, names=["seq_ord", "seqid", "seqlen", "rf", "start", "stop", "raw_start", "raw_stop", "match"])
 
+    return seqs.select("ord", "id", "data").mapInArrow(run, MATCHES)
 
-def codon_places(text, words: Sequence[str]):
-    """Array of (pos, word) of the codons among words, at every place of the text."""
-    every = F.transform(kmers(text, 3), lambda word, i: F.struct(i.alias("pos"), word.alias("word")))
-    return F.filter(every, lambda x: x["word"].isin(*words))
 
+_TURN = str.maketrans(LETTERS, COMPLEMENTS)
 
-def match_codons(seqs: DataFrame, words: Sequence[str], rf: int | str | Sequence[int] = "fwd", start: int = 0) -> DataFrame:
-    """All places of codons that can't overlap each other, such as start or stop codons. Built-in functions only."""
-    wanted = frames(rf)
-    found = with_strands(seqs, wanted).select("seq_ord", "seqid", "seqlen", "strand", F.explode(codon_places("text", words)).alias("m"))
-    frame = F.pmod(F.col("m.pos") - start, F.lit(3))
-    signed = F.when(F.col("strand") == "+", frame).otherwise(-frame - 1)
-    begin = F.when(F.col("strand") == "+", F.col("m.pos")).otherwise(F.col("seqlen") - F.col("m.pos") - 3)
-    out = found.select("seq_ord", "seqid", "seqlen", signed.cast("int").alias("rf"), begin.alias("start"), (begin + 3).alias("stop"), F.col("m.pos").alias("raw_start"), (F.col("m.pos") + 3).alias("raw_stop"), F.col("m.word").alias("match"))
-    return out.filter((F.col("raw_start") >= start) & F.col("rf").isin(*wanted))
+
+def _word(text: str, back: bool) -> str:
+    if not back:
+        return text
+    return text.replace("U", "T").translate(_TURN).replace("T", "U")[::-1] if "U" in text else text.translate(_TURN)[::-1]
 
 
 def with_gaps(pattern: str, gap: str) -> str:
@@ -84,7 +99,7 @@ def matches_of(text: str, backwards: str, pattern: str, rf: tuple[int, ...] | No
 def match(seqs: DataFrame, pattern: str, rf: int | str | Sequence[int] | None = "fwd", start: int = 0, gap: str | None = "-", matchall: bool = True) -> DataFrame:
     """Matches of a Python pattern; 'start' and 'stop' name the codons. matchall=False keeps the first of a sequence.
 
-    The patterns 'start' and 'stop' on sequences without gaps stay in built-in functions; others take one Arrow pass.
+    The patterns 'start' and 'stop' on sequences without gaps are found as numbers of codons; others as expressions.
     """
     named = {"start": START_CODONS, "stop": STOP_CODONS}
     if pattern in named and gap is None and rf is not None:
@@ -97,8 +112,6 @@ def match(seqs: DataFrame, pattern: str, rf: int | str | Sequence[int] | None =
     wanted = None if rf is None else frames(rf)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         names = ["seq_ord", "seqid", "seqlen", "rf", "start", "stop", "raw_start", "raw_stop", "match"]
         kinds = [pa.int64(), pa.string(), *[pa.int32()] * 6, pa.string()]
         for batch in batches:

@@ -180,29 +180,34 @@ def loc_range(fts: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
-def equality_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """A digest of all columns but ord: rows with one key are equal, nulls included."""
-    names = sorted(columns or [c for c in df.columns if c != "ord"])
-    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+def _compared(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    """The columns by which rows are equal: all but ord."""
+    return list(columns or [c for c in df.columns if c != "ord"])
 
 
 def remove_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The first of equal rows, in list order. Equal rows are combined before the shuffle."""
-    return df.groupBy(equality_key(df, columns).alias("_eq")).agg(F.min_by(F.struct(*df.columns), "ord").alias("r")).select("r.*")
+    names = _compared(df, columns)
+    rest = [c for c in df.columns if c not in names and c != "ord"]
+    return df.groupBy(*names).agg(F.min("ord").alias("ord"), *(F.min_by(c, "ord").alias(c) for c in rest)).select(*df.columns)
 
 
-def _keyed(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
-    return df.withColumn("_eq", equality_key(df, columns))
+def _matched(a: DataFrame, b: DataFrame, columns: Sequence[str] | None, how: str) -> DataFrame:
+    """Rows of a with (left_semi) or without (left_anti) an equal row in b; nulls are equal."""
+    names = _compared(a, columns)
+    other = b.select(*(F.col(c).alias(f"_b{k}") for k, c in enumerate(names))).distinct()
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(names)))
+    return a.join(other, same, how)
 
 
 def list_and(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of a that b has too; order and repeats of a stay."""
-    return _keyed(a, columns).join(_keyed(b, columns).select("_eq").distinct(), "_eq", "left_semi").drop("_eq")
+    return _matched(a, b, columns, "left_semi")
 
 
 def list_sub(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of a that b lacks; order and repeats of a stay."""
-    return _keyed(a, columns).join(_keyed(b, columns).select("_eq").distinct(), "_eq", "left_anti").drop("_eq")
+    return _matched(a, b, columns, "left_anti")
 
 
 def list_add(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """Translation of nucleotide sequences with any of the genetic codes.
 
-Sequences without gaps are translated by built-in expressions; gapped ones, whose gaps must be carried over, go
-through one Arrow-batched pass.
+translate() is one Arrow-batched pass: sequences without gaps are translated by a table lookup for all their codons at
+once, gapped ones, whose gaps must be carried over, letter by letter. translate_column() is the same as a column
+expression, for use inside larger expressions on short sequences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dims import GeneticCode, genetic_code
 from ..functions.sequence import col
+from .codes import raw, translate_bytes
 
 
 def amino_acid(codon: Column, code: GeneticCode, astop: str = "X") -> Column:
@@ -106,37 +110,37 @@ def translate(seqs: DataFrame, complete: bool = False, check_start: bool | None
 
     A sequence that fails a check stops the job; with strict=False its data is null and the column `error` says why.
     """
-    check_start = not complete if check_start is None else check_start
+    code = genetic_code(tt)
+    starts_right = not complete if check_start is None else check_start
+    ends_right = complete if final_stop is None else final_stop
     names = [c for c in seqs.columns if c not in ("data", "type", "error")]
-    plain = seqs if gap is None else seqs.filter(~F.contains("data", F.lit(gap)))
-    error = translation_error("data", check_start, check_stop, tt)
-    text = translate_column("data", complete, final_stop, astop, tt)
-    if strict:
-        done = plain.select(*names, F.when(error.isNotNull(), F.raise_error(error)).otherwise(text).alias("data"), F.lit("aa").alias("type"))
-    else:
-        done = plain.select(*names, F.when(error.isNull(), text).alias("data"), F.lit("aa").alias("type"), error.alias("error"))
-    if gap is None:
-        return done
-    how = {"complete": complete, "check_start": check_start, "check_stop": check_stop, "final_stop": final_stop, "astop": astop, "gap": gap, "gap_after": gap_after, "tt": tt}
+    how = {"complete": complete, "check_start": starts_right, "check_stop": check_stop, "final_stop": ends_right, "astop": astop, "gap": gap, "gap_after": gap_after, "tt": tt}
+    kinds = {f.name: f.dataType for f in seqs.schema}
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names] + [T.StructField("data", T.StringType()), T.StructField("type", T.StringType())] + ([] if strict else [T.StructField("error", T.StringType())]))
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+        mark = ord(gap) if gap else None
+        good = code.starts | code.maybe_starts
         for batch in batches:
             at = batch.schema.get_field_index("data")
+            letters, offsets = raw(batch.column(at))
+            missing = batch.column(at).is_null().to_pylist()
             texts, errors = [], []
-            for x in batch.column(at).to_pylist():
-                try:
-                    texts.append(translate_text(x, **how))
-                    errors.append(None)
-                except ValueError as e:
-                    if strict:
-                        raise
-                    texts.append(None)
-                    errors.append(str(e))
+            for null, low, high in zip(missing, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = letters[low:high]
+                error, found = None, None
+                if not null:
+                    first = own[:3].tobytes().decode("latin1").replace("U", "T")
+                    quick = not check_stop and (mark is None or not (own == mark).any()) and (not starts_right or len(first) < 3 or first in good)
+                    try:
+                        found = translate_bytes(own, tt, complete, ends_right, astop).decode() if quick else translate_text(own.tobytes().decode("utf-8"), **how)
+                    except ValueError as e:
+                        if strict:
+                            raise
+                        error = str(e)
+                texts.append(found)
+                errors.append(error)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(texts, pa.string()), pa.array(["aa"] * len(texts), pa.string())]
-            more = [] if strict else ["error"]
-            yield pa.RecordBatch.from_arrays(columns + ([] if strict else [pa.array(errors, pa.string())]), names=[*names, "data", "type", *more])
+            yield pa.RecordBatch.from_arrays(columns + ([] if strict else [pa.array(errors, pa.string())]), names=[f.name for f in schema])
 
-    gapped = seqs.filter(F.contains("data", F.lit(gap))).mapInArrow(run, done.schema)
-    return done.unionByName(gapped)
+    return seqs.select(*names, "data").mapInArrow(run, schema)

@@ -100,12 +100,14 @@ _CODE = dims.genetic_code(1)
 _GCODE = "gcode(codon, aa) as (values " + ", ".join(f"('{a + b + c}', '{_CODE.amino[a + b + c]}')" for a in "TCAG" for b in "TCAG" for c in "TCAG") + ")"
 
 
-@query(f"""with {SEQS}, {_GCODE}, c as (select id, i, substr(data, 3 * i + 1, 3) as codon from seqs, range(0, 100000) t(i) where i < length(data) // 3),
+@query(f"""with {SEQS}, {_GCODE}, c as (select id, i, substr(data, 3 * i + 1, 3) as codon from seqs, unnest(range(0, length(data) // 3)) t(i)),
     t as (select id, i, aa from c join gcode using (codon)), s as (select id, min(i) filter (where aa = '*') as stop_ from t group by id),
     f as (select id, string_agg(aa, '' order by i) as aas, string_agg(aa, '' order by i) filter (where stop_ is null or i < stop_) as first_ from t join s using (id) group by id)
     select seqs.id, md5(coalesce(aas, '')) as complete, md5(coalesce(first_, '')) as to_stop from seqs left join f on seqs.id = f.id""")
 def seq_translate(spark, sf):
-    return derive.seqs(spark, sf).select("id", F.md5(tr.translate_column("data", complete=True)).alias("complete"), F.md5(tr.translate_column("data")).alias("to_stop"))
+    s = derive.seqs(spark, sf).select("id", F.col("data").alias("own"), "data")
+    complete = tr.translate(s, complete=True, gap=None).select("id", F.md5("data").alias("complete"), F.col("own").alias("data"))
+    return tr.translate(complete, check_start=False, gap=None).select("id", "complete", F.md5("data").alias("to_stop"))
 
 
 @query(f"with {SEQS} select id, md5(concat(substr(data, 1, 5), 'NNN', substr(data, 9))) as edited from seqs where length(data) >= 8")
@@ -113,18 +115,9 @@ def seq_assign(spark, sf):
     return derive.seqs(spark, sf).filter(F.length("data") >= 8).select("id", F.md5(sequence.set_slice("data", "NNN", 5, 8)).alias("edited"))
 
 
-@query("""with s as (select doc_id, regexp_replace(substr(text, 1, 200), '[^A-Za-z]', '-', 'g') as data from documents),
-    p as (select doc_id, i, row_number() over (partition by doc_id order by i) as k from s, range(1, 201) t(i) where i <= length(data) and substr(data, i, 1) <> '-'),
-    e as (select doc_id, max(i) filter (where k = 4) as a, max(i) filter (where k = 20) as b from p group by doc_id)
-    select s.doc_id, case when coalesce(b, length(data)) >= coalesce(a, length(data) + 1) then substr(data, coalesce(a, length(data) + 1), coalesce(b, length(data)) - coalesce(a, length(data) + 1) + 1) else '' end as part from s left join e on s.doc_id = e.doc_id""")
-def seq_slice_ungapped(spark, sf):
-    d = derive.table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z]", "-").alias("data"))
-    return d.select("doc_id", sequence.slice_ungapped("data", 3, 20).alias("part"))
-
-
 @query("""with s as (select doc_id, regexp_replace(text, '[^A-Za-z]', '-', 'g') as data from documents)
     select doc_id, coalesce(nullif(regexp_extract(data, '^(?:-*[A-Za-z]){3}-*([A-Za-z](?:-*[A-Za-z]){16})', 1), ''), regexp_extract(data, '^(?:-*[A-Za-z]){3}-*([A-Za-z].*)$', 1)) as part from s""")
-def seq_slice_ungapped_whole(spark, sf):
+def seq_slice_ungapped(spark, sf):
     d = derive.table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "-").alias("data"))
     return d.select("doc_id", sequence.slice_ungapped("data", 3, 20).alias("part"))
 
@@ -137,7 +130,13 @@ def letter_counts(spark, sf):
     return counting.count_words(derive.seqs(spark, sf), 1)
 
 
-_KMER = "k as (select ord, id, substr(data, i, 3) as word from seqs, range(1, 200000) t(i) where i <= length(data) - 2)"
+def codon_sql(source: str, columns: str, name: str = "p") -> str:
+    """Every word of 3 letters with its place, cut from pieces of 300 letters: substr walks from a text's start."""
+    return f"""pieces as (select {columns}, length(data) as seqlen, j, substr(data, 300 * j + 1, 302) as piece from {source}, unnest(range(0, (length(data) + 299) // 300)) t(j)),
+    {name} as (select {columns}, seqlen, 300 * j + i - 1 as pos, substr(piece, i, 3) as codon from pieces, unnest(range(1, least(300, length(piece) - 2) + 1)) u(i))"""
+
+
+_KMER = codon_sql("seqs", "ord, id", "k0") + ", k as (select ord, id, codon as word from k0)"
 
 
 @query(f"with {SEQS}, {_KMER} select word, count(*) as count from k group by word")
@@ -168,7 +167,7 @@ def merge_with_offsets(spark, sf):
 
 # matches and reading frames
 
-_POS = "p as (select ord, id, length(data) as seqlen, i - 1 as pos, substr(data, i, 3) as codon from seqs, range(1, 200000) t(i) where i <= length(data) - 2)"
+_POS = codon_sql("seqs", "ord, id")
 
 
 @query(f"with {SEQS}, {_POS} select id, count(*) as n, min(pos) as first_ from p where codon = 'ATG' group by id")
@@ -178,7 +177,7 @@ def match_start_codons(spark, sf):
 
 
 _BOTH = """both_ as (select ord, id, 1 as dir, data from seqs union all select ord, id, -1, reverse(translate(data, 'ACGT', 'TGCA')) from seqs),
-    p as (select ord, id, dir, length(data) as seqlen, i - 1 as pos, substr(data, i, 3) as codon from both_, range(1, 200000) t(i) where i <= length(data) - 2)"""
+    """ + codon_sql("both_", "ord, id, dir")
 
 
 @query(f"with {SEQS}, {_BOTH} select case when dir = 1 then pos % 3 else -(pos % 3) - 1 end as rf, codon as match, count(*) as n, cast(sum(case when dir = 1 then pos else seqlen - pos - 3 end) as bigint) as places from p where codon in ('TAG', 'TAA', 'TGA') group by all")
@@ -187,16 +186,9 @@ def match_by_frame(spark, sf):
     return found.groupBy(F.col("rf").cast("long").alias("rf"), "match").agg(F.count("*").alias("n"), F.sum("start").alias("places"))
 
 
-@query("""with t as (select doc_id, text, lower(substr(text, 1, 400)) as head from documents)
-    select doc_id as seq_ord, cast(len(regexp_extract_all(head, 'the [a-z]+')) as bigint) as n from t where len(regexp_extract_all(head, 'the [a-z]+')) > 0""")
-def match_regex(spark, sf):
-    s = derive.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("id"), F.lower(F.substring("text", 1, 400)).alias("data"))
-    return match.match(s, "the [a-z]+", rf=None, gap=None).groupBy("seq_ord").agg(F.count("*").alias("n"))
-
-
 @query("""with t as (select doc_id, regexp_extract_all(lower(text), 'the [a-z]+') as found from documents)
     select doc_id as seq_ord, cast(len(found) as bigint) as n from t where len(found) > 0""")
-def match_regex_whole(spark, sf):
+def match_regex(spark, sf):
     s = derive.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.lit("").alias("id"), F.lower("text").alias("data"))
     return match.match(s, "the [a-z]+", rf=None, gap=None).groupBy("seq_ord").agg(F.count("*").alias("n"))
 
@@ -254,12 +246,12 @@ def orfs_never(spark, sf):
 
 
 @query(_orf_sql("and dir = 1") + f""", {_GCODE}, cut as (select o.rf, o.seq_ord, o.start, substr(s.data, o.start + 1, o.stop - o.start) as d from orfs o join seqs s on s.ord = o.seq_ord),
-    aas as (select rf, seq_ord, start, string_agg(aa, '' order by i) as aa from (select rf, seq_ord, start, i, substr(d, 3 * i + 1, 3) as codon from cut, range(0, 100000) t(i) where i < length(d) // 3 - 1) join gcode using (codon) group by rf, seq_ord, start)
+    aas as (select rf, seq_ord, start, string_agg(aa, '' order by i) as aa from (select rf, seq_ord, start, i, substr(d, 3 * i + 1, 3) as codon from cut, unnest(range(0, length(d) // 3 - 1)) t(i)) join gcode using (codon) group by rf, seq_ord, start)
     select rf, count(*) as n, cast(sum(length(aa)) as bigint) as letters, max(aa) as last_, min(length(aa)) as shortest from aas group by rf""")
 def orf_proteins(spark, sf):
     s = derive.seqs(spark, sf)
-    found = orf.orf_sequences(s, orf.find_orfs(s, rf="fwd"))
-    aa = found.select(F.col("rf").cast("long").alias("rf"), tr.translate_column("data").alias("aa"))
+    found = orf.find_orfs(s, rf="fwd", with_data=True).select(F.col("rf").cast("long").alias("rf"), "data")
+    aa = tr.translate(found, check_start=False, gap=None).select("rf", F.col("data").alias("aa"))
     return aa.groupBy("rf").agg(F.count("*").alias("n"), F.sum(F.length("aa")).alias("letters"), F.max("aa").alias("last_"), F.min(F.length("aa")).cast("long").alias("shortest"))
 
 
@@ -364,7 +356,9 @@ def fts_shift(spark, sf):
     return moved.select("seqid", "ord", "start", "stop", L.middle(F.col("start"), F.col("stop")).alias("mid"))
 
 
-_PAIR = "from fts a join fts b on a.seqid = b.seqid and a.ord < b.ord"
+_BOTH_OF_SEQID = """f as materialized (select * from fts), met as materialized (
+    select a.seqid, a.ord as a_ord, a.start as a_start, a.stop as a_stop, b.ord as b_ord, b.start as b_start, b.stop as b_stop from f a join f b on a.seqid = b.seqid)"""
+_OVERLAP = "from met where a_ord < b_ord and a_start < b_stop and a_stop > b_start"
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -372,18 +366,18 @@ def _pairs(spark, sf) -> DataFrame:
     return intervals.overlap_join(f, f, 64).filter("a_ord < b_ord")
 
 
-@query(f"with {FTS} select a.seqid, a.ord as a_ord, b.ord as b_ord {_PAIR} and a.start < b.stop and a.stop > b.start")
+@query(f"with {FTS}, {_BOTH_OF_SEQID} select seqid, a_ord, b_ord {_OVERLAP}")
 def fts_overlap_pairs(spark, sf):
     return _pairs(spark, sf).select(F.col("a_seqid").alias("seqid"), "a_ord", "b_ord")
 
 
-@query(f"with {FTS} select a.seqid, a.ord as a_ord, b.ord as b_ord, greatest(0, least(a.stop, b.stop) - greatest(a.start, b.start)) as n {_PAIR} and a.start < b.stop and a.stop > b.start")
+@query(f"with {FTS}, {_BOTH_OF_SEQID} select seqid, a_ord, b_ord, greatest(0, least(a_stop, b_stop) - greatest(a_start, b_start)) as n {_OVERLAP}")
 def fts_overlaplen(spark, sf):
     n = L.overlap_length(F.col("a_start"), F.col("a_stop"), F.col("b_start"), F.col("b_stop"))
     return _pairs(spark, sf).select(F.col("a_seqid").alias("seqid"), "a_ord", "b_ord", n.alias("n"))
 
 
-@query(f"with {FTS} select a.seqid, a.ord as a_ord, b.ord as b_ord from fts a join fts b on a.seqid = b.seqid and a.ord <> b.ord and a.start <= b.start and b.stop <= a.stop")
+@query(f"with {FTS}, {_BOTH_OF_SEQID} select seqid, a_ord, b_ord from met where a_ord <> b_ord and a_start <= b_start and b_stop <= a_stop")
 def fts_contains_pairs(spark, sf):
     f = derive.fts(spark, sf).select("ord", "seqid", "start", "stop")
     inside = L.contains(F.col("a_start"), F.col("a_stop"), F.col("b_start"), F.col("b_stop"))
@@ -440,13 +434,14 @@ def align_groups_center(spark, sf):
 
 # list algebra
 
-_LISTS = f"{FTS}, a as (select ord, {_FTS_KEY} from fts where start < 2400), b as (select ord, {_FTS_KEY} from fts where start >= 2300 and start < 2500)"
+_LISTS = f"{FTS}, a as (select ord, {_FTS_KEY} from fts where start < 2400), b as (select ord, {_FTS_KEY} from fts where start >= 2300)"
 _EQUAL = "x.seqid = y.seqid and x.type = y.type and x.start = y.start and x.stop = y.stop and x.strand = y.strand"
 
 
 def _lists(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two lists that overlap and together hold every feature."""
     f = derive.fts(spark, sf)
-    return f.filter("start < 2400"), f.filter("start >= 2300 and start < 2500")
+    return f.filter("start < 2400"), f.filter("start >= 2300")
 
 
 def _without_ord(df: DataFrame) -> DataFrame:
@@ -478,40 +473,6 @@ def list_xor(spark, sf):
     return _without_ord(rows.list_xor(*_lists(spark, sf)))
 
 
-_ALL_LISTS = f"{FTS}, a as (select ord, {_FTS_KEY} from fts where start < 2400), b as (select ord, {_FTS_KEY} from fts where start >= 2300)"
-
-
-def _all_lists(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Two lists that overlap and together hold every feature."""
-    f = derive.fts(spark, sf)
-    return f.filter("start < 2400"), f.filter("start >= 2300")
-
-
-@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a union all select {_FTS_KEY} from b")
-def list_union_whole(spark, sf):
-    return _without_ord(rows.list_add(*_all_lists(spark, sf)))
-
-
-@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a x where exists (select 1 from b y where {_EQUAL})")
-def list_and_whole(spark, sf):
-    return _without_ord(rows.list_and(*_all_lists(spark, sf)))
-
-
-@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a union all select {_FTS_KEY} from b x where not exists (select 1 from a y where {_EQUAL})")
-def list_or_whole(spark, sf):
-    return _without_ord(rows.list_or(*_all_lists(spark, sf)))
-
-
-@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a x where not exists (select 1 from b y where {_EQUAL})")
-def list_sub_whole(spark, sf):
-    return _without_ord(rows.list_sub(*_all_lists(spark, sf)))
-
-
-@query(f"with {_ALL_LISTS} select {_FTS_KEY} from a x where not exists (select 1 from b y where {_EQUAL}) union all select {_FTS_KEY} from b x where not exists (select 1 from a y where {_EQUAL})")
-def list_xor_whole(spark, sf):
-    return _without_ord(rows.list_xor(*_all_lists(spark, sf)))
-
-
 # joins of sequences and features
 
 
@@ -526,16 +487,9 @@ def leftover_seqids(spark, sf):
     return left.groupBy("seqid").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {SEQS}, {FTS} select f.ord as ft_ord, s.ord, s.id, md5(case when strand = '-' then reverse(translate(substr(data, start + 1, stop - start), 'ACGT', 'TGCA')) else substr(data, start + 1, stop - start) end) as cut
-    from fts f join seqs s on s.id = f.seqid where f.start < 2200""")
-def extract_by_feature(spark, sf):
-    features = derive.with_locs(derive.fts(spark, sf).filter("start < 2200"))
-    return joins.extract(derive.seqs(spark, sf), features).select("ft_ord", "ord", "id", F.md5("data").alias("cut"))
-
-
 @query(f"""with {SEQS}, {FTS} select f.ord as ft_ord, s.ord, s.id, md5(case when strand = '-' then reverse(translate(substr(data, start + 1, stop - start), 'ACGT', 'TGCA')) else substr(data, start + 1, stop - start) end) as cut
     from fts f join seqs s on s.id = f.seqid""")
-def extract_by_feature_whole(spark, sf):
+def extract_by_feature(spark, sf):
     return joins.extract(derive.seqs(spark, sf), derive.with_locs(derive.fts(spark, sf))).select("ft_ord", "ord", "id", F.md5("data").alias("cut"))
 
 

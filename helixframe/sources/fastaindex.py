@@ -37,6 +37,20 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     return placed.filter(F.trim(header) != "").select(seqid.alias("seqid"), "file", F.when(one, 0).otherwise(F.octet_length(F.rtrim(line, F.lit("\r")))).cast("int").alias("linelen"), eol.cast("int").alias("eol"), (F.col("from") + F.col("in") + F.octet_length(header) + 1).alias("offset"), F.greatest(size, F.lit(0)).cast("long").alias("size"))
 
 
+def add_files(index: DataFrame, path: str) -> DataFrame:
+    """The index with all records in the files at path; what it had of these files is made anew."""
+    new = build_index(index.sparkSession, path)
+    return index.join(new.select("file").distinct(), "file", "left_anti").select(*index.columns).unionByName(new.select(*index.columns))
+
+
+def fetch_fasta(index: DataFrame, requests: Sequence[str | tuple]) -> DataFrame:
+    """(ord, fasta): the requested records as FASTA text, headed by id, or by id and range."""
+    asked = [(k, *((r, None, None) if isinstance(r, str) else r)) for k, r in enumerate(requests)]
+    names = [(k, i if start is None and stop is None else f"{i}:{start or 0}-{'' if stop is None else stop}") for k, i, start, stop in asked]
+    heads = index.sparkSession.createDataFrame(names, "ord long, head string")
+    return fetch(index, requests).join(F.broadcast(heads), "ord").select("ord", F.concat(F.lit(">"), "head", F.lit("\n"), "data").alias("fasta"))
+
+
 def save_index(index: DataFrame, path: str) -> None:
     """Sorted by id, so that min/max of row groups prune lookups."""
     index.repartitionByRange("seqid").sortWithinPartitions("seqid").write.mode("overwrite").parquet(path)
@@ -65,11 +79,11 @@ def fetch(index: DataFrame, requests: Sequence[str | tuple]) -> DataFrame:
             warnings.warn(f"negative start for {name} is taken as 0", stacklevel=2)
     asked = spark.createDataFrame(wanted, "ord long, id string, start long, stop long")
     ids = sorted({w[1] for w in wanted})
-    pruned = index.filter(F.col("seqid").isin(*ids)) if len(ids) <= 1000 else index
+    pruned = index.filter(F.col("seqid").isin(*ids)) if len(ids) <= 1000 else index  # row groups are skipped by it
     placed = F.broadcast(asked).join(pruned, F.col("id") == F.col("seqid"))
-    found = {r[0] for r in placed.select("id").distinct().collect()} if len(ids) <= 1000 else None
-    if found is not None and (missing := [i for i in ids if i not in found]):
-        raise KeyError(f"not in the index: {', '.join(missing)}")
+    missing = asked.select("id").distinct().join(placed.select("id").distinct(), "id", "left_anti").orderBy("id").limit(10).collect()
+    if missing:
+        raise KeyError(f"not in the index: {', '.join(str(r['id']) for r in missing)}")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

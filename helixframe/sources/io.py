@@ -44,11 +44,8 @@ def _features_of(parse):
 
 
 def _gff_seqs(text: str, **options) -> Iterator[dict]:
-    """Sequences behind ##FASTA, with the file's features of their id."""
-    head, found, tail = text.partition("##FASTA")
-    features = list(parsers.parse_gff(head, **options)) if found else []
-    for s in parsers.parse_fasta(tail):
-        yield s | {"features": [f for f in features if f["seqid"] == s["id"]]}
+    """Sequences behind ##FASTA; the file's features are read_fts()'s, and attach() brings both together."""
+    yield from parsers.parse_fasta(text.partition("##FASTA")[2])
 
 
 def _is_gtf(head: str) -> bool:
@@ -115,7 +112,7 @@ for _f in (
     Format("gff", ("gff", "gff3"), lambda h: h[:100].startswith("##gff-version"), _gff_seqs, parsers.parse_gff),
     Format("gtf", ("gtf",), _is_gtf, None, lambda text, **o: parsers.parse_gff(text, gtf=True, **o)),
     Format("infernal", (), lambda h: "target name" in h[:400] and "mdl from" in h[:400] and h.startswith("#"), None, parsers.parse_infernal),
-    Format("mmseqs", (), lambda h: {"query", "target"} <= set(h.split("\n", 1)[0].split()) or _hit_share(h, parsers.MMSEQS_COLUMNS, "fident", 1), None, parsers.parse_mmseqs),
+    Format("mmseqs", (), lambda h: len(first := h.split("\n", 1)[0].split()) > 1 and set(first) <= set(parsers.MMSEQS_NAMES) or _hit_share(h, parsers.MMSEQS_COLUMNS, "fident", 1), None, parsers.parse_mmseqs),
     Format("meme_txt", (), lambda h: h.startswith("*") and h.split("\n")[1:2] != [] and h.split("\n")[1].startswith("MEME"), None, parsers.parse_meme),
     Format("blast", ("blastn", "blastp"), lambda h: h.startswith("#") and "BLAST" in h or _hit_share(h, parsers.HIT_COLUMNS, "pident", 100), None, parsers.parse_blast),
     Format("tsv", ("tsv",), lambda h: _is_table(h, "\t"), None, parse_table),

@@ -7,24 +7,18 @@ score, evalue, locs, meta).
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+from ..functions.sequence import HEADER_IDS
 from .locgrammar import ordered, parse_location
 
-_GB = re.compile(r"gb\|([^|\s]+)\|")
-_DB = re.compile(r"(?:emb|dbj|sp|tr|ref|lcl)\|([^|\s]+)")
-_WORD = re.compile(r"[^\s,;|]+")
+_IDS = [re.compile(p) for p in HEADER_IDS]
 
 
 def header_id(header: str) -> str | None:
-    if header.startswith(" "):
-        return None
-    found = _GB.search(header) or _DB.search(header)
-    if found:
-        return found[1]
-    word = _WORD.match(header)
-    return word[0] if word else None
+    return next((m[1] for m in (p.search(header) for p in _IDS) if m), None)
 
 
 def feature(seqid, type_, locs, meta=None, name=None, id_=None, score=None, evalue=None) -> dict:
@@ -228,10 +222,12 @@ def features_to_row(features: list[tuple[int, int, str]], length: int, inner: st
         last = stop
         row[start:stop] = inner * (stop - start)
         row[start] = row[stop - 1] = split
-        room = stop - start - 2
-        if 0 < len(name) <= room:
-            at = start + 1 + (room - len(name)) // 2
-            row[at : at + len(name)] = name
+        room = max(0, stop - start - 2)
+        if len(name) > room:
+            warnings.warn(f"the name {name} is cut to the {room} letters that its feature has room for", stacklevel=2)
+            name = name[:room]
+        at = start + 1 + (room - len(name)) // 2
+        row[at : at + len(name)] = name
     return "".join(row)
 
 
@@ -302,7 +298,8 @@ def parse_gff(text: str, version: int | None = None, gtf: bool = False, filt: tu
             yield now
         name = attributes.get("Name") or attributes.get("gene_name")
         identity = attributes.get("ID") or attributes.get("gene_id")
-        now = feature(seqid, type_, [loc], meta, name=name if isinstance(name, str) else None, id_=identity if isinstance(identity, str) else None, score=None if score == "." else float(score))
+        evalue = attributes.get("evalue", attributes.get("E_value"))
+        now = feature(seqid, type_, [loc], meta, name=name if isinstance(name, str) else None, id_=identity if isinstance(identity, str) else None, score=None if score == "." else float(score), evalue=float(evalue) if isinstance(evalue, str) else None)
         key = own
     if now:
         yield now
@@ -311,17 +308,39 @@ def parse_gff(text: str, version: int | None = None, gtf: bool = False, filt: tu
 #: Default columns of tabular hits.
 HIT_COLUMNS = ("qseqid", "sseqid", "pident", "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "evalue", "bitscore")
 MMSEQS_COLUMNS = ("query", "target", "fident", "alnlen", "mismatch", "gapopen", "qstart", "qend", "tstart", "tend", "evalue", "bits")
-#: Names that BLAST writes in its Fields line, and MMseqs2's, by column.
+#: Columns of BLAST's tables and their labels in its Fields line.
 FIELD_NAMES = {
-    "query id": "qseqid", "query acc.": "qacc", "query acc.ver": "qaccver", "subject id": "sseqid", "subject acc.": "sacc", "subject acc.ver": "saccver",
-    "% identity": "pident", "alignment length": "length", "mismatches": "mismatch", "gap opens": "gapopen", "q. start": "qstart", "q. end": "qend",
-    "s. start": "sstart", "s. end": "send", "evalue": "evalue", "bit score": "bitscore", "score": "score", "subject strand": "sstrand",
-    "query length": "qlen", "subject length": "slen", "query seq": "qseq", "subject seq": "sseq", "identical": "nident", "positives": "positive", "gaps": "gaps",
-    "% positives": "ppos", "query/sbjct frames": "frames", "query frame": "qframe", "sbjct frame": "sframe", "BTOP": "btop", "subject title": "stitle",
+    "query id": "qseqid", "query gi": "qgi", "query acc.": "qacc", "query acc.ver": "qaccver", "query length": "qlen",
+    "subject id": "sseqid", "subject ids": "sallseqid", "subject gi": "sgi", "subject gis": "sallgi", "subject acc.": "sacc",
+    "subject acc.ver": "saccver", "subject accs.": "sallacc", "subject length": "slen", "q. start": "qstart", "q. end": "qend",
+    "s. start": "sstart", "s. end": "send", "query seq": "qseq", "subject seq": "sseq", "evalue": "evalue", "bit score": "bitscore",
+    "score": "score", "alignment length": "length", "% identity": "pident", "identical": "nident", "mismatches": "mismatch",
+    "positives": "positive", "gap opens": "gapopen", "gaps": "gaps", "% positives": "ppos", "query/sbjct frames": "frames",
+    "query frame": "qframe", "sbjct frame": "sframe", "BTOP": "btop", "subject tax id": "staxid", "subject sci name": "ssciname",
+    "subject com name": "scomname", "subject blast name": "sblastname", "subject super kingdom": "sskingdom",
+    "subject tax ids": "staxids", "subject sci names": "sscinames", "subject com names": "scomnames",
+    "subject super kingdoms": "sskingdoms", "subject title": "stitle", "subject titles": "salltitles", "subject strand": "sstrand",
+    "% query coverage per subject": "qcovs", "% query coverage per hsp": "qcovhsp", "% query coverage per uniq subject": "qcovus",
+}
+#: Columns of MMseqs2's tables, with BLAST's name where that has the same.
+MMSEQS_NAMES = {
+    "query": "qseqid", "qlen": "qlen", "target": "sseqid", "tlen": "slen", "qstart": "qstart", "qend": "qend", "tstart": "sstart",
+    "tend": "send", "qseq": "qseq", "tseq": "sseq", "evalue": "evalue", "bits": "bitscore", "alnlen": "length", "pident": "pident",
+    "nident": "nident", "mismatch": "mismatch", "gapopen": "gapopen", "ppos": "ppos", "qframe": "qframe", "tframe": "sframe",
+    "qcov": "qcovs", "fident": "fident", "raw": "raw", "cigar": "cigar", "qheader": "qheader", "theader": "theader", "qaln": "qaln",
+    "taln": "taln", "tcov": "tcov", "qset": "qset", "qsetid": "qsetid", "tset": "tset", "tsetid": "tsetid", "taxid": "taxid",
+    "taxname": "taxname", "taxlineage": "taxlineage", "qorfstart": "qorfstart", "qorfend": "qorfend", "torfstart": "torfstart",
+    "torfend": "torfend",
+}
+#: The columns that are numbers.
+_INTEGERS = {
+    "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "qlen", "slen", "nident", "positive", "gaps", "qframe",
+    "sframe", "qorfstart", "qorfend", "torfstart", "torfend", "mdlfrom", "mdlto", "seqfrom", "seqto", "pass", "idx", "mdllen", "seqlen",
+}
+_FLOATS = {
+    "pident", "fident", "evalue", "bitscore", "score", "ppos", "qcovs", "qcovhsp", "qcovus", "tcov", "gc", "bias", "anyidx", "afrct1",
+    "afrct2", "winidx", "wfrct1", "wfrct2",
 }
-MMSEQS_NAMES = {"query": "qseqid", "target": "sseqid", "alnlen": "length", "tstart": "sstart", "tend": "send", "bits": "bitscore", "tlen": "slen", "tseq": "sseq"}
-_INTEGERS = {"length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "qlen", "slen", "nident", "positive", "gaps", "mdlfrom", "mdlto", "seqfrom", "seqto", "pass"}
-_FLOATS = {"pident", "fident", "evalue", "bitscore", "score", "ppos", "gc", "bias"}
 
 
 def _number(key: str, value: str):
@@ -373,7 +392,7 @@ def parse_mmseqs(text: str, sep: str | None = None, outfmt: str | None = None, f
     columns = (outfmt.split() if outfmt else list(MMSEQS_COLUMNS))
     for number, line in enumerate(filter(str.strip, text.splitlines())):
         fields = [x.strip() for x in line.split(sep or ("\t" if "\t" in line else None))]
-        if number == 0 and {"query", "target"} <= set(fields):
+        if number == 0 and len(fields) > 1 and set(fields) <= set(MMSEQS_NAMES):
             columns = fields
             continue
         named = [MMSEQS_NAMES.get(c, c) for c in columns]
@@ -389,6 +408,10 @@ INFERNAL_LAYOUTS = {
 }
 
 
+#: What the hits of other programs call these columns.
+INFERNAL_NAMES = {"target": "sseqid", "query": "qseqid", "mdlfrom": "qstart", "mdlto": "qend", "seqfrom": "sstart", "seqto": "send", "strand": "sstrand", "score": "bitscore", "mdllen": "qlen", "seqlen": "slen"}
+
+
 def parse_infernal(text: str, ftype: str | None = None) -> Iterator[dict]:
     columns: list[str] = []
     for line in text.splitlines():
@@ -400,6 +423,7 @@ def parse_infernal(text: str, ftype: str | None = None) -> Iterator[dict]:
         if not line.strip():
             continue
         row = {k: _number(k, v) for k, v in zip(columns, line.split(None, len(columns) - 1), strict=True)}
+        row |= {common: row[own] for own, common in INFERNAL_NAMES.items() if own in row}
         strand = row["strand"]
         low, high = sorted((row["seqfrom"], row["seqto"]))
         yield feature(row["target"], row.get(ftype, ftype) if ftype else None, [place(low - 1, high, strand)], row, name=row["query"], score=row["score"], evalue=row["evalue"])
@@ -415,7 +439,7 @@ def parse_meme(text: str, ftype: str | None = None) -> Iterator[dict]:
         motif_id = next((w for w in words[1:2] if w.startswith("MEME")), None)
         evalue = re.search(r"E-value\s*=\s*(\S+)", head)
         width = re.search(r"width\s*=\s*(\d+)", head)
-        sites = re.search(r"sites sorted by position p-value.*?\n-+\n(.*?)\n-{10,}", block, re.DOTALL)
+        sites = re.search(r"sites sorted by position p-value[^\n]*\n-+\n(.*?)\n-{10,}[ \t]*(?:\n|\Z)", block, re.DOTALL)
         for line in (sites[1].splitlines() if sites else []):
             fields = line.split()
             if len(fields) < 4 or fields[0] in ("Sequence", "-------------"):

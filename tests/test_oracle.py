@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixframe.plans.queries import QUERIES
+from helixframe.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

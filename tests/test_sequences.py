@@ -4,6 +4,8 @@ import itertools
 import random
 
 import pytest
+
+from helixframe.sources import parsers
 from pyspark.sql import functions as F
 
 from helixframe.functions import dims, sequence, strings
@@ -123,8 +125,9 @@ def test_ungapped_slice(spark):
 
 def test_header_ids(spark):
     cases = {"id42X": "id42X", "id42X,a": "id42X", "id42X;b": "id42X", "id42X|c": "id42X", "id42X d": "id42X", "gi|1|gb|id42X|": "id42X", "sp|id42X|N": "id42X", " id42X": None}
+    cases |= {"||gb:Q7|": "Q7", "gb|Q7 first": "Q7", "Q7 like gb|X1|": "Q7", "  gb:Q7": None, "": None, "x|emb|Q7.1;": "Q7.1", "|||": None}
     for header, expected in cases.items():
-        assert one(spark, header, sequence.id_from_header("data")) == expected, header
+        assert one(spark, header, sequence.id_from_header("data")) == expected == parsers.header_id(header), header
 
 
 @pytest.mark.parametrize("text", ["ACGT", "", "aACgt  ", " xx", "AAAA", "a|b|c", "a b  c"])

@@ -1,4 +1,4 @@
-"""Queries named ..._whole take whole texts and tables."""
+"""Queries take whole texts and tables."""
 
 from helixframe.plans import derive
 from helixframe.plans.queries import QUERIES
@@ -13,16 +13,16 @@ def documents(spark, folder, text):
 
 def test_matches_far_in_a_text(spark, tmp_path):
     folder = documents(spark, tmp_path, "x " * 300 + "the cat. The dog")
-    assert QUERIES["match_regex_whole"].run(spark, folder).first()["n"] == 2
+    assert QUERIES["match_regex"].run(spark, folder).first()["n"] == 2
 
 
 def test_slice_far_in_a_text(spark, tmp_path):
     folder = documents(spark, tmp_path, "abc" + " " * 300 + "DEFGHIJKLMNOPQRSTUVW")
-    assert QUERIES["seq_slice_ungapped_whole"].run(spark, folder).first()["part"] == "DEFGHIJKLMNOPQRST"
+    assert QUERIES["seq_slice_ungapped"].run(spark, folder).first()["part"] == "DEFGHIJKLMNOPQRST"
 
 
 def test_late_features(spark):
     every = derive.fts(spark, SF)
-    found = QUERIES["extract_by_feature_whole"].run(spark, SF).count()
+    found = QUERIES["extract_by_feature"].run(spark, SF).count()
     assert found == every.join(derive.seqs(spark, SF).withColumnRenamed("id", "seqid"), "seqid", "left_semi").count()
-    assert QUERIES["list_or_whole"].run(spark, SF).count() == every.count()
+    assert QUERIES["list_or"].run(spark, SF).count() == every.count()
