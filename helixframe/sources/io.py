@@ -216,14 +216,16 @@ def _parsed(texts: DataFrame, parse, what: str, options: dict) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _finished(parsed: DataFrame, fmt: str, what: str) -> DataFrame:
+def _finished(parsed: DataFrame, fmt: str, what: str, numbered: bool = True) -> DataFrame:
     named = parsed.withColumn("fmt", F.lit(fmt))
     if what == "seqs":
         named = named.withColumn("type", sequence_type("data"))
+    if not numbered:
+        return named
     return renumber(named, F.col("src_file"), F.col("place")).drop("place")
 
 
-def _read(spark: SparkSession, path: str, fmt: str | None, what: str, options: dict) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str | None, what: str, options: dict, numbered: bool) -> DataFrame:
     name = fmt or detect(spark, path, what)
     if name is None:
         raise OSError(f"the format of {path} can't be detected")
@@ -231,17 +233,27 @@ def _read(spark: SparkSession, path: str, fmt: str | None, what: str, options: d
     parse = own.parse if what == "seqs" else own.parse_fts
     if parse is None:
         raise ValueError(f"{name} has no {what}")
-    return _finished(_parsed(_texts(spark, path, own.separator), parse, what, options), name, what)
+    return _finished(_parsed(_texts(spark, path, own.separator), parse, what, options), name, what, numbered)
 
 
-def read(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Sequences of a file, folder, glob, gz or archive."""
-    return _read(spark, path, fmt, "seqs", options)
+def read(spark: SparkSession, path: str, fmt: str | None = None, numbered: bool = True, **options) -> DataFrame:
+    """Sequences of a file, folder, glob, gz or archive.
 
+    Numbers (ord) take a shuffle by ranges; numbered=False leaves the order in src_file and place, and reading is
+    narrow.
+    """
+    return _read(spark, path, fmt, "seqs", options, numbered)
 
-def read_fts(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Features of a file, folder, glob, gz or archive."""
-    return _read(spark, path, fmt, "fts", options)
+
+def read_fts(spark: SparkSession, path: str, fmt: str | None = None, numbered: bool = True, **options) -> DataFrame:
+    """Features of a file, folder, glob, gz or archive; numbered as in read()."""
+    return _read(spark, path, fmt, "fts", options, numbered)
+
+
+def iterate(spark: SparkSession, path: str, fmt: str | None = None, what: str = "seqs", **options) -> Iterator:
+    """The rows of read() or read_fts() one by one, in order; the driver holds one part at a time."""
+    found = (read if what == "seqs" else read_fts)(spark, path, fmt, **options)
+    yield from found.orderBy("ord").toLocalIterator()
 
 
 def from_string(spark: SparkSession, text: str, fmt: str | None = None, what: str = "seqs", **options) -> DataFrame:

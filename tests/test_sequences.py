@@ -4,13 +4,12 @@ import itertools
 import random
 
 import pytest
-
-from helixframe.sources import parsers
 from pyspark.sql import functions as F
 
 from helixframe.functions import dims, sequence, strings
 from helixframe.operators import joins, match, orf
 from helixframe.operators import translate as tr
+from helixframe.sources import parsers
 
 GOLDEN = "CCCCATGCTGACCTACCCCATCATGTGACCCCCCTGACCCATGCCCTGACCATGCCCC"
 
@@ -76,12 +75,13 @@ def test_forward_and_backward_make_all(spark, texts):
     assert orf.find_orfs(s, rf="fwd").count() + orf.find_orfs(s, rf="bwd").count() == orf.find_orfs(s).count()
 
 
-def test_translation_goldens():
-    assert tr.translate_text("CCC-AT-GAT-NCC--CCCCT---ANT-A--GGGN", complete=True) == "P-MX-PP-X-*G"
-    assert tr.translate_text("TCTTGAAGG", complete=True) == "S*R"
-    assert tr.translate_text("ATGTCTTGAAGG") == "MS"
+def test_translation_of_gaps_stops_and_starts():
+    # M, then A; the second gap is put out, the third isn't; then the stop
+    assert tr.translate_text("ATG-GCA--TAA", complete=True) == "MA-*"
+    assert tr.translate_text("GATTAACAT", complete=True) == "D*H"
+    assert tr.translate_text("ATGGATTAA") == "MD"
     with pytest.raises(ValueError):
-        tr.translate_text("CCCTAA")
+        tr.translate_text("GATTAA")
 
 
 @pytest.mark.parametrize("complete,final_stop,tt", list(itertools.product((True, False), (None, True, False), (1, 27))))
@@ -98,11 +98,12 @@ def test_translate_table(spark):
 
 
 def test_matches(spark):
-    found = match.match(table(spark, ["NNNUAGDDDUAGAUG"]), "stop", gap=None).orderBy("start").collect()
-    assert [r["start"] for r in found] == [3, 9]
-    gapped = match.match(table(spark, ["-UU-U-AG"]), "stop", rf="fwd").collect()
-    assert [(r["match"], r["rf"]) for r in gapped] == [("U-AG", 2)]
-    assert match.match(table(spark, ["NNNUAGDDDUAGAUG"]), "stop", gap=None, matchall=False).count() == 1
+    text = "CCTAGGGTGAATG"  # TAG at 2, TGA at 7
+    found = match.match(table(spark, [text]), "stop", gap=None).orderBy("start").collect()
+    assert [r["start"] for r in found] == [text.index("TAG"), text.index("TGA")]
+    gapped = match.match(table(spark, ["A-T-GC-TA-A"]), "stop", rf="fwd").collect()
+    assert [(r["match"], r["rf"]) for r in gapped] == [("TA-A", 4 % 3)]  # four letters before it
+    assert match.match(table(spark, [text]), "stop", gap=None, matchall=False).count() == 1
 
 
 def test_reverse_complement_twice(spark, texts):
@@ -120,7 +121,7 @@ def test_slices_follow_python(spark, texts):
 
 
 def test_ungapped_slice(spark):
-    assert one(spark, "ATG---GGA", sequence.slice_ungapped("data", 1, 5)) == "TG---GG"
+    assert one(spark, "AC--GTT-A", sequence.slice_ungapped("data", 1, 4)) == "C--GT"
 
 
 def test_header_ids(spark):

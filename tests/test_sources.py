@@ -129,6 +129,7 @@ def test_infernal():
     assert (found[0]["seqid"], found[0]["name"], found[0]["locs"][0]["start"], found[0]["locs"][0]["stop"], found[0]["meta"]["description"]) == ("s1", "q1", 40, 90, "some words here")
 
 
+# fixed values: locations of the public feature table document
 @pytest.mark.parametrize("text,expected", [("467", (466, 467, 0)), ("340..565", (339, 565, 0)), ("<345..500", (344, 500, 4)), ("1..>888", (0, 888, 8)), ("102.110", (101, 110, 128)), ("123^124", (122, 124, 64))])
 def test_location_grammar(text, expected):
     found = parse_location(text)[0]
@@ -136,9 +137,8 @@ def test_location_grammar(text, expected):
 
 
 def test_annotation_rows():
-    row = "-----1----||----2----|3|---4---|"
-    found = parsers.row_to_features(row, "x", "s")
-    assert [f["name"] for f in found] == ["1", "2", "3", "4"] and [f["locs"][0]["defect"] for f in found] == [1, 0, 0, 0]
+    found = parsers.row_to_features("|aa-|--bb--|c", "x", "s")
+    assert [(f["name"], f["locs"][0]["start"], f["locs"][0]["stop"], f["locs"][0]["defect"]) for f in found] == [("aa", 0, 5, 0), ("bb", 4, 12, 0), ("c", 11, 13, 2)]
 
 
 def test_what_is_empty_or_unknown(spark, tmp_path):
