@@ -188,7 +188,7 @@ def io_csv(spark, sf):
     return io.read_fts(spark, path).select("type", "start", "stop", "strand", (F.col("stop") - F.col("start")).alias("n"))
 
 
-_HITS = f"with {FTS} select seqid, 'q' || ord as name, start, stop, case when stop - start = 1 then '.' else strand end as strand, ord % 100 + 0.5 as score, 1e-3 as evalue, 'T' || (ord % 9) as taxid, 50.0 + ord % 50 as pident from fts"
+_HITS = f"with {FTS} select seqid, 'q' || ord as name, start, stop, case when stop - start = 1 then '.' else strand end as strand, cast(ord % 100 + 0.5 as double) as score, 1e-3 as evalue, 'T' || (ord % 9) as taxid, cast(50.0 + ord % 50 as double) as pident from fts"
 
 
 def _hits(spark, sf) -> DataFrame:
@@ -235,7 +235,7 @@ def _headed(lines: DataFrame, head: str, name: str) -> str:
     return path
 
 
-@query(f"with {FTS} select seqid, 'q' || ord as name, start, stop, case when stop - start = 1 then '+' else strand end as strand, ord % 100 + 0.5 as score, ord % 9 as qstart from fts")
+@query(f"with {FTS} select seqid, 'q' || ord as name, start, stop, case when stop - start = 1 then '+' else strand end as strand, cast(ord % 100 + 0.5 as double) as score, ord % 9 as qstart from fts")
 def io_infernal(spark, sf):
     h = _hits(spark, sf)
     f = h.select(F.concat_ws(" ", "seqid", F.lit("-"), "query", F.lit("- cm"), (F.col("ord") % 9).cast("string"), F.lit("99"), "first", "last", F.when(F.col("first").cast("long") > F.col("last").cast("long"), "-").otherwise("+"), F.lit("no 1 0.5 0.0"), "bits", F.lit("1e-9 ! some text")).alias("value"))
@@ -296,7 +296,7 @@ def index_fetch_ranges(spark, sf):
     return fastaindex.fetch(index, asked).select("id", "data")
 
 
-@query(f"with {SEQS}, {PROTEINS}, every as (select data from seqs union all select data from proteins) select count(*) as n, sum(length(data)) as letters from every")
+@query(f"with {SEQS}, {PROTEINS}, every as (select data from seqs union all select data from proteins) select count(*) as n, cast(sum(length(data)) as bigint) as letters from every")
 def index_add(spark, sf):
     """The index of two sets of files, the second one added."""
     index = fastaindex.build_index(spark, written(derive.seqs(spark, sf), "fasta"))
