@@ -15,7 +15,8 @@ with one common key are candidates.
 Verification. The least number of edits between the item and any passage around the window is computed exactly.
 
 Defined results: null and empty texts contain nothing; items without words match nothing; equal items each give their
-rows; repeated documents each give theirs; empty tables give empty results. Whole texts are searched.
+rows; repeated documents each give theirs; empty tables give empty results; other columns, whatever their names, are not
+looked at (drop_contaminated keeps them). Whole texts are searched.
 """
 
 from __future__ import annotations
@@ -233,20 +234,24 @@ def searches(benchmark: DataFrame, item_id: str, item_text: str, **how) -> list[
 
 
 def find_passages(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", **how) -> DataFrame:
-    """(id, item, edits, similarity, end_word): the best passage of each item in each document that has one."""
+    """(id, item, edits, similarity, end_word): the best passage of each item in each document that has one.
+
+    Where both ids have one name, the item's is put out as item_<name>.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_id].dataType.simpleString()
-    schema = f"{id_col} {kind}, {item_id} {item_kind}, edits int, similarity double, end_word long"
+    item = item_id if item_id != id_col else f"item_{item_id}"
+    schema = f"{id_col} {kind}, {item} {item_kind}, edits int, similarity double, end_word long"
     out = None
     for search in searches(benchmark, item_id, item_text, **how):
 
         def one(batch: pa.RecordBatch, search: Search = search) -> dict:
             index = search.index()
-            columns: dict[str, list] = {"row": [], item_id: [], "edits": [], "similarity": [], "end_word": []}
+            columns: dict[str, list] = {"row": [], item: [], "edits": [], "similarity": [], "end_word": []}
             for row, text in enumerate(batch.column(1).to_pylist()):
                 for number, (edits, end) in sorted(index.search(word_hashes(text)).items()):
                     columns["row"].append(row)
-                    columns[item_id].append(index.ids[number])
+                    columns[item].append(index.ids[number])
                     columns["edits"].append(edits)
                     columns["similarity"].append(1 - edits / len(index.plain[number]))
                     columns["end_word"].append(end)

@@ -224,8 +224,10 @@ def judge_quality(df: DataFrame, rules: tuple[QualityRule, ...] = RULES, base: B
     """(id, counts, base_failed, kept, quality): quality is the posterior probability.
 
     The counts (no texts) are written once to the shared folder; the patterns' probabilities, at most
-    3 ** len(rules) rows, are broadcast.
+    3 ** len(rules) rows, are broadcast. Other columns of df, whatever their names, are not looked at.
     """
+    if id_col in (*Counts._fields, "base_failed", "pattern", "kept", "quality"):
+        raise ValueError(f"{id_col} is the name of a result: rename the id column")
     spark = df.sparkSession
     measured = materialise(measure(df, rules, base, id_col, text_col), "quality")
     _, good = fit_patterns(measured, len(rules))

@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helixframe.llm import queries, url_filter
+from helixframe.llm import decontaminate, quality, queries, url_filter
 from helixframe.llm.decontaminate import fewest_edits, word_hashes
 
 from test_text_operators import plain_counts, plain_pii, plain_secrets  # isort: skip
@@ -56,6 +57,66 @@ def test_op3(spark, documents):
         assert r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
 
 
+def plain_posteriors(votes, rounds=50):
+    """EM document by document, in plain numbers: the probability of being good of each."""
+    good = [0.05 if v.count(quality.BAD) >= 2 else 0.7 if v.count(quality.BAD) == 1 else 0.98 for v in votes]
+    last = None
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(good) + 2)
+        table = []
+        for k in range(len(votes[0])):
+            sides = []
+            for weight in ([1 - g for g in good], good):
+                cast = [1 + sum(w for w, v in zip(weight, votes, strict=True) if v[k] == vote) for vote in (0, 1, 2)]
+                sides.append([c / sum(cast) for c in cast])
+            table.append(sides)
+        good = []
+        for v in votes:
+            odds = prior / (1 - prior)
+            for k, vote in enumerate(v):
+                odds *= table[k][1][vote] / table[k][0][vote]
+            good.append(odds / (1 + odds))
+        if last and max(abs(a - b) for x, y in zip(table, last, strict=True) for s, t in zip(x, y, strict=True) for a, b in zip(s, t, strict=True)) < 1e-9:
+            break
+        last = table
+    return good
+
+
+def test_op3_verdicts(spark, documents):
+    ids = sorted(documents)
+    votes = [[r.vote(quality.count((documents[i] or "").encode())) for r in quality.RULES] for i in ids]
+    want = dict(zip(ids, plain_posteriors(votes), strict=True))
+    found = {r["doc_id"]: r for r in run(spark, "op3_quality_rules")}
+    assert set(found) == set(ids) and all(abs(found[i]["quality"] - want[i]) < 1e-6 for i in ids)
+    assert all(r["kept"] == (not r["base_failed"] and want[i] >= 0.5) for i, r in found.items())
+    with pytest.raises(ValueError, match="rename"):
+        quality.judge_quality(spark.createDataFrame([(1, "x")], "pattern long, text string"), id_col="pattern")
+
+
+def test_one_name_for_both_ids(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    d = spark.createDataFrame([(1, f"so {words} it is", 5)], "n long, text string, edits int")
+    b = spark.createDataFrame([(7, words), (7, words)], "n long, text string")
+    found = decontaminate.find_passages(d, b, id_col="n", item_id="n").collect()
+    assert [(r["n"], r["item_n"], r["edits"]) for r in found] == [(1, 7, 0)] * 2
+
+
+def test_pipeline_of_an_empty_table_and_more_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("length", F.lit("clash")).withColumn("class_id", F.lit(1))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows, name in ((docs.limit(0), "none"), (docs, "all")):
+        here = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            here = stage(spark, here, str(tmp_path))
+            assert here.columns == docs.columns
+            here.write.parquet(f"{tmp_path}/{name}-{stage.__name__}")
+            here = spark.read.parquet(f"{tmp_path}/{name}-{stage.__name__}")
+        packed = corpus_pipeline.STAGES[-1][1](spark, here, str(tmp_path))
+        assert (packed.count() == 0) == (name == "none")
+
+
 def test_op4(spark, documents):
     for r in run(spark, "op4_secret_scan"):
         want = plain_secrets(documents[r["doc_id"]] or "")
