@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: an empty table stays empty through every stage; null and empty texts fall to the quality rules; of
+repeated rows one stays; other columns, whatever their names, are kept up to the last stage, which looks at doc_id and
+text alone.
 """
 
 from __future__ import annotations
