@@ -135,6 +135,43 @@ def test_classes_equal_those_of_all_pairs(spark, groups):
     assert {(r["b"], r["a"]) for r in pairs.collect()} <= set(links) and members.count() == len(texts)
 
 
+def test_copies_without_their_original_are_linked(spark):
+    """Most pairs of such copies lie just below the threshold, few above, and no member is a hub for the others."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    texts = [" ".join(replaced(rng, base, 12, vocabulary)) for _ in range(250)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.similar(texts[i], texts[j], 0.8) is not None]
+    assert 50 < len(links) < 0.05 * 250 * 249 / 2
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()}
+    assert sum(found[i] == found[j] for i, j in links) >= 0.95 * len(links)
+
+
+def test_wider_pairs_are_all_within_the_width(spark, monkeypatch):
+    """Against plain loops: a hot bucket over many blocks, borders of blocks and of ranges, classes, lengths."""
+    rng = random.Random(6)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 50)
+    sizes = [150, 1, 7, 40, 2]
+    rows = [(b, i, rng.choice((10, 12, 20))) for b, size in enumerate(sizes) for i in rng.sample(range(200), size)]
+    cut = (0, 40, 41, 170, len(rows))  # ranges as they stand before numbers go on
+    numbered = [(*r, (k << 33) + at - begin) for k, (begin, end) in enumerate(zip(cut, cut[1:])) for at, r in enumerate(rows) if begin <= at < end]
+    shared = near_dedup.consecutive(spark.createDataFrame(numbered, "bucket long, id long, n_words int, number long"))
+    assert sorted(r["number"] for r in shared.collect()) == list(range(len(rows)))
+    label = {i: i % 3 for i in range(0, 200, 2)}  # the others are classes of their own
+    labels = spark.createDataFrame(list(label.items()), "id long, label long")
+    going = spark.createDataFrame([(0,), (1,), (3,)], "bucket long")
+    for width in (4, 16):
+        wanted = set()
+        for at, (b, i, n) in enumerate(rows):
+            for b2, i2, n2 in rows[max(0, at - width) : at]:
+                if b == b2 and b in (0, 1, 3) and label.get(i, i) != label.get(i2, i2) and min(n, n2) >= 0.8 * max(n, n2):
+                    wanted.add((min(i, i2), max(i, i2)))
+        found = near_dedup.wider_pairs(shared, going, labels, width, 0.8).collect()
+        assert len(found) == len(wanted) and {(r["a"], r["b"]) for r in found} == wanted
+
+
 def test_pairs_at_the_threshold_are_found(spark):
     rng = random.Random(29)
     vocabulary = [f"w{i}" for i in range(3000)]
