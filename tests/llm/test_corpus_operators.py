@@ -160,15 +160,17 @@ def test_wider_pairs_are_all_within_the_width(spark, monkeypatch):
     shared = near_dedup.consecutive(spark.createDataFrame(numbered, "bucket long, id long, n_words int, number long"))
     assert sorted(r["number"] for r in shared.collect()) == list(range(len(rows)))
     label = {i: i % 3 for i in range(0, 200, 2)}  # the others are classes of their own
-    labels = spark.createDataFrame(list(label.items()), "id long, label long")
-    going = spark.createDataFrame([(0,), (1,), (3,)], "bucket long")
+    labels = spark.createDataFrame([(i, label.get(i, i)) for i in range(200)], "id long, label long")
+    going = shared.filter("bucket in (0, 1, 3)").join(labels, "id")
+    bag = {i: [rng.randrange(3) for _ in range(near_dedup.BAG)] if i % 5 == 0 else [0] * near_dedup.BAG for i in range(200)}
+    texts = spark.createDataFrame([(i, bytearray(b)) for i, b in bag.items()], "id long, bag binary")
     for width in (4, 16):
         wanted = set()
         for at, (b, i, n) in enumerate(rows):
             for b2, i2, n2 in rows[max(0, at - width) : at]:
-                if b == b2 and b in (0, 1, 3) and label.get(i, i) != label.get(i2, i2) and min(n, n2) >= 0.8 * max(n, n2):
+                if b == b2 and b in (0, 1, 3) and label.get(i, i) != label.get(i2, i2) and min(n, n2) >= 0.8 * max(n, n2) and bag[i] == bag[i2]:
                     wanted.add((min(i, i2), max(i, i2)))
-        found = near_dedup.wider_pairs(shared, going, labels, width, 0.8).collect()
+        found = near_dedup.wider_pairs(going, texts, width, 0.8).collect()
         assert len(found) == len(wanted) and {(r["a"], r["b"]) for r in found} == wanted
 
 
