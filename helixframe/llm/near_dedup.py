@@ -7,21 +7,17 @@ Two texts share a bucket only if they share shingles in the same order, so the c
 Edits of a fifth of the words leave few 5-word shingles, so `fine` more tables take 2 of the 2-word shingles, and
 `short` more take 1 of them for texts of at most SHORT_WORDS words.
 
-Candidates. The members of all buckets are sorted by bucket and, within it, by further minima of their 2-word shingles
-(other ones in each table), so that of the members of a bucket, those alike in more places stand side by side: a
-bucket that many texts share for one common passage falls apart into runs, each a finer bucket. Every member is paired
-with the ones just before it (NEIGHBOURS of them) and with its bucket's hub: the member that shares most buckets of
-all, as the text does that a group of copies was made from. That is linear in the bucket at every size; no pair is
-left out for a bucket's size, and none is made of all with all. The order is dealt out by ranges of the whole key, so a
-bucket with a third of all texts spreads over many tasks; hubs are one row a bucket.
-Where that finds links between neighbours, the bucket's members go on: each is compared with eight times as many before it,
-if they are in other classes, and so on until a round finds nothing new in the bucket or its whole length was seen.
-So a bucket of one common passage is done at once, while the copies of a text that is not there itself, which meet in
-no hub, are compared as widely as it takes. The rounds stop by what they find, at every size of bucket alike.
+Candidates are all pairs of texts of a bucket, whatever its size. First every member is compared with its bucket's hub:
+the member that shares most buckets of all, as the text does that a group of copies was made from. That is linear in
+the bucket, finishes buckets of two, and puts most copies into one class. Then the rest, for every bucket of three or
+more that holds several classes: each pair of members of different classes is compared where it stands, without a row
+for the pair. The bucket's members are dealt out by blocks, each pair of blocks to one task, so none meets in a task
+as a whole. A pass over counts of words finds the members that may have a link there at all; a second one, with
+the texts of those alone, aligns. A pair that shares several buckets is aligned in the first of them.
 
 Links. Texts with equal words are one text first. Candidates whose counts of words forbid a link go; the rest are
-verified by alignment of words within a band that allows (1 - threshold) of the longer text in edits. Members meet
-their hubs first; of the neighbours, those then in different classes are compared.
+verified by alignment of words within a band that allows (1 - threshold) of the longer text in edits. Pairs that a task
+has found in one class by then are left out, so links are those that join classes, at most a few for each member.
 
 Classes. Connected components of the links, by hooking to the smallest id around and redrawing the links between
 what is left; nothing but counts reaches the driver.
@@ -52,12 +48,9 @@ CACHE_ENTRIES = 200_000
 BAG = 64
 #: Words of a text that also has tables of single pairs of words: one edit may leave it no two in common.
 SHORT_WORDS = 12
-#: Minima of 2-word shingles by which the members of a bucket are ordered.
-ORDERS = 8
-#: Members just before each one in that order with which it is paired; each further round takes WIDER times as many.
-NEIGHBOURS, WIDER = 2, 8
-#: Members of a block in those rounds at least; a task takes a block and the one before it at a time.
-BLOCK = 1024
+#: Members of a block of texts; blocks of counts of words, which are shorter, hold COUNTS times as many. A task takes
+#: two blocks of a bucket at a time, and every two blocks meet.
+BLOCK, COUNTS = 1024, 8
 #: Pairs of a block that are put out at once.
 PAIRS_AT_ONCE = 100_000
 _U = np.uint64
@@ -131,29 +124,23 @@ def order_min_hash(words: np.ndarray, tables: int, sample: int, width: int, firs
     return smallest(*shingles(words, width), tables, sample, first)[0]
 
 
-def buckets_of(words: np.ndarray, tables: int, sample: int, width: int, fine: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a text, of wide shingles, of pairs of words (fine) and, if it is short, of single pairs (short);
-    and for each its place among the bucket's members: three minima of pairs of words, other ones in each table."""
-    pairs = shingles(words, 2)
+def buckets_of(words: np.ndarray, tables: int, sample: int, width: int, fine: int, short: int) -> np.ndarray:
+    """The buckets of a text, of wide shingles, of pairs of words (fine) and, if it is short, of single pairs (short)."""
     found = [order_min_hash(words, tables, sample, width)]
     if fine:
-        found.append(smallest(*pairs, fine, 2, 1001)[0])
+        found.append(order_min_hash(words, fine, 2, 2, 1001))
     if short and 0 < len(words) <= SHORT_WORDS:
-        found.append(smallest(*pairs, short, 1, 2001)[0])
-    keys = np.concatenate(found)
-    low = smallest(*pairs, ORDERS, 1, 3001)[1] >> _U(43)  # 21 bits of each
-    t = np.arange(len(keys))
-    place = low[t % ORDERS] << _U(42) | low[(t + 1 + t // ORDERS % 3) % ORDERS] << _U(21) | low[(t + 4) % ORDERS]
-    return keys, place
+        found.append(order_min_hash(words, short, 1, 2, 2001))
+    return np.concatenate(found)
 
 
 def sketch(df: DataFrame, tables: int, sample: int, width: int, fine: int, short: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest of the words, n_words, bag, buckets, places): one narrow pass."""
+    """(id, digest of the words, n_words, bag, buckets): one narrow pass."""
     kind = df.schema[id_col].dataType.simpleString()
     known = WordHashes()  # each task gets its own, which goes with the task
 
     def one(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"digest": [], "n_words": [], "bag": [], "buckets": [], "places": []}
+        out: dict[str, list] = {"digest": [], "n_words": [], "bag": [], "buckets": []}
         for text in batch.column(1):
             words = (text.as_py() or "").lower().split()
             hashes = np.fromiter(map(known.__getitem__, words), dtype=_U, count=len(words))
@@ -161,12 +148,10 @@ def sketch(df: DataFrame, tables: int, sample: int, width: int, fine: int, short
             out["n_words"].append(len(words))
             bag = np.bincount((hashes >> _U(58)).astype(np.int64), minlength=BAG)
             out["bag"].append(np.minimum(bag, 255).astype(np.uint8).tobytes())
-            keys, places = buckets_of(hashes, tables, sample, width, fine, short)
-            out["buckets"].append(keys.view(np.int64))
-            out["places"].append(places.view(np.int64))
+            out["buckets"].append(buckets_of(hashes, tables, sample, width, fine, short).view(np.int64))
         return out | {"id": batch.column(0)}
 
-    return map_arrow(df.select(id_col, text_col), one, f"id {kind}, digest binary, n_words int, bag binary, buckets array<long>, places array<long>")
+    return map_arrow(df.select(id_col, text_col), one, f"id {kind}, digest binary, n_words int, bag binary, buckets array<long>")
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -240,51 +225,32 @@ def similar(one: str, two: str, threshold: float) -> float | None:
     return None if edits > most else 1 - edits / longest
 
 
-def shared_buckets(texts: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, id, n_words, before, number) of the texts (id, n_words, buckets, places) in each bucket that they
-    share: before lists the members just before one in the bucket's order, if of a similar length; number tells the
-    order, and the range in its bits from 33 on.
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, id, n_words, number) of all texts (id, n_words, buckets) in each bucket that they share; number tells
+    the order by bucket and length, and the range in its bits from 33 on.
 
-    One shuffle by ranges of (bucket, place, id) and one pass over each range, which keeps a few rows. At a border of
-    ranges the last members of one range and the first of the next aren't in each other's before: a pair a task.
+    One shuffle by ranges of (bucket, n_words, id) and one pass over each range, which keeps one row. The rows at a border
+    of ranges are put out too, as they may share their bucket with those of another range.
     """
     kind = texts.schema["id"].dataType.simpleString()
-    member = texts.select(F.explode(F.arrays_zip("buckets", "places")).alias("at"), "id", "n_words").select(F.col("at.buckets").alias("bucket"), F.col("at.places").alias("place"), "id", "n_words")
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = member.repartitionByRange(parts, "bucket", "place", "id").sortWithinPartitions("bucket", "place", "id").drop("place")
-    schema = f"bucket long, id {kind}, n_words int, before array<{kind}>"
-    wanted = arrow_schema(schema)
-    small_batches(spark)
-
-    def rows(own: pa.RecordBatch, begin: int, end: int, edges: tuple[bool, bool]) -> pa.RecordBatch:
-        """The rows begin..end that share their bucket with the row before or behind; and, if own starts or ends
-        where the range does (edges), the rows there, which may share it with those of another range."""
-        bucket, size, n = own.column(0).to_numpy(), own.column(2).to_numpy(), own.num_rows
-        same = bucket[1:] == bucket[:-1]
-        at = np.flatnonzero(np.concatenate([edges[:1], same]) | np.concatenate([same, edges[1:]]))
-        at = at[(at >= begin) & (at < end)]
-        other = at[:, None] - np.arange(1, NEIGHBOURS + 1)
-        there = np.maximum(other, 0)
-        mine, theirs = size[at][:, None], size[there]
-        good = (other >= 0) & (bucket[there] == bucket[at][:, None]) & (np.minimum(mine, theirs) >= threshold * np.maximum(mine, theirs) - 1e-9)
-        before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(good.sum(axis=1))]), pa.int32()), own.column(1).take(pa.array(there[good])))
-        picked = own.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), picked.column(2), before.cast(wanted.field("before").type)], schema=wanted)
+    member = texts.select(F.explode("buckets").alias("bucket"), "id", "n_words")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = member.repartitionByRange(parts, "bucket", "n_words", "id").sortWithinPartitions("bucket", "n_words", "id")
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, waits, begun = None, 0, False  # the last rows, of which the last one is not put out yet
+        kept, equal = None, True  # the last row, and whether it shares its bucket with the one before (or may)
         for batch in batches:
             if batch.num_rows:
                 own = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-                yield rows(own, waits, own.num_rows - 1, (not begun, False))
-                begun = begun or own.num_rows > 1  # else the range's first row is still to come
-                kept = own.slice(max(0, own.num_rows - 1 - NEIGHBOURS))
-                waits = kept.num_rows - 1
+                bucket = own.column(0).to_numpy()
+                same = np.concatenate([[equal], bucket[1:] == bucket[:-1]])
+                yield own.take(pa.array(np.flatnonzero(same[:-1] | same[1:])))
+                kept, equal = own.slice(own.num_rows - 1), bool(same[-1])
         if kept is not None:
-            yield rows(kept, waits, kept.num_rows, (not begun, True))
+            yield kept
 
-    return ordered.mapInArrow(run, schema).withColumn("number", F.monotonically_increasing_id())
+    return ordered.mapInArrow(run, f"bucket long, id {kind}, n_words int").withColumn("number", F.monotonically_increasing_id())
 
 
 def consecutive(shared: DataFrame) -> DataFrame:
@@ -300,19 +266,166 @@ def consecutive(shared: DataFrame) -> DataFrame:
     return shared.withColumn("range", bits).join(offsets, "range").withColumn("number", F.col("start") + inner).drop("range", "start")
 
 
-def fruitful(shared: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of shared whose buckets hold both ends of one of the links and members of more than one class, with
-    their present label."""
-    ends = [links.select(F.monotonically_increasing_id().alias("link"), F.col(x).alias("id")) for x in ("a", "b")]
-    first, second = (e.join(shared.select("id", "bucket"), "id").select("link", "bucket") for e in ends)
-    found = materialise(first.join(second, ["link", "bucket"]).select("bucket").distinct(), "fruitful")
-    member = shared.drop("label").join(found, "bucket", "left_semi").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    return member.join(mixed, "bucket", "left_semi")
+def mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, n_words, label, place, members) of the buckets of three members or more that hold more than one class:
+    place is a member's number in the bucket. Of buckets of two, the hub has met the other."""
+    member = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    bucket = member.groupBy("bucket").agg(F.count("*").alias("members"), F.min("number").alias("start"), F.min("label").alias("low"), F.max("label").alias("high"))
+    going = bucket.filter("members > 2 and low <> high").select("bucket", "members", "start")
+    return member.join(going, "bucket").select("bucket", "id", "n_words", "label", (F.col("number") - F.col("start")).alias("place"), "members")
+
+
+def in_blocks(member: DataFrame, size: int) -> DataFrame:
+    """member (bucket, place, members, ...) with own, its block of size places, once for each block of its bucket: the
+    rows of the same (bucket, one, two) are two blocks that meet, or one alone if one = two. Sorted by them."""
+    blocks = F.floor((F.col("members") - 1) / size).cast("int")
+    own = F.floor(F.col("place") / size).cast("int")
+    dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks)))
+    dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("other")
+    parts = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "place")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of (bucket, one, two) from sorted rows, and where each group begins, and the end."""
+    waiting: list[pa.RecordBatch] = []
+
+    def starts(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        keys = [rows.column(name).to_numpy() for name in ("bucket", "one", "two")]
+        new = np.zeros(max(0, rows.num_rows - 1), dtype=bool)
+        for key in keys:
+            new |= key[1:] != key[:-1]
+        return np.flatnonzero(new) + 1
+
+    def put_out() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        return rows, np.concatenate([[0], starts(rows), [rows.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if waiting:  # where does the last group go on to?
+            last = waiting[-1].slice(waiting[-1].num_rows - 1)
+            edge = starts(pa.Table.from_batches([last, batch]))
+            edges = edge - 1
+        else:
+            edges = starts(batch)
+        if len(edges):
+            if edges[-1]:
+                waiting.append(batch.slice(0, edges[-1]))
+            yield put_out()
+            waiting = [batch.slice(edges[-1])]
+        else:
+            waiting.append(batch)
+    if waiting:
+        yield put_out()
+
+
+def in_reach(going: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The rows of going (as mixed gives them) that, by lengths and counts of words (bags: id, bag), may have a link to
+    a member of their bucket in another class."""
+    kind = going.schema["id"].dataType.simpleString()
+    member = going.hint("merge").join(bags.select("id", "bag"), "id")
+    small_batches(going.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches):
+            words, own, alone = rows.column("n_words").to_numpy(), rows.column("own").to_numpy(), (rows.column("one").to_numpy() == rows.column("two").to_numpy())
+            label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            bag = bags_of(rows.column("bag"))
+            last = np.repeat(starts[1:], np.diff(starts)) - 1  # of each row's group
+            reached = np.zeros(rows.num_rows, dtype=bool)
+            at, d = np.arange(rows.num_rows), 0
+            while len(at):
+                d += 1
+                at = at[at + d <= last[at]]
+                at = at[words[at] >= threshold * words[at + d] - 1e-9]  # in order of length: those further on are longer
+                pair = at[(label[at] != label[at + d]) & (alone[at] | (own[at] != own[at + d])) & ~(reached[at] & reached[at + d])]
+                for cut in range(0, len(pair), PAIRS_AT_ONCE):
+                    x = pair[cut : cut + PAIRS_AT_ONCE]
+                    x = x[least_edits(bag[x], bag[x + d]) <= edits_allowed(words[x], words[x + d], threshold)]
+                    reached[x] = reached[x + d] = True
+            yield from rows.select(["bucket", "id", "label", "place", "members"]).take(pa.array(np.flatnonzero(reached))).to_batches()
+
+    dealt = in_blocks(member, COUNTS * BLOCK).select("bucket", "one", "two", "own", "place", "members", "id", "n_words", "label", "bag")
+    return dealt.mapInArrow(run, f"bucket long, id {kind}, label {kind}, place long, members long").distinct()
+
+
+def joining_links(reached: DataFrame, texts: DataFrame, df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b, similarity) between different classes in the buckets of reached (as in_reach gives it): so many that
+    their classes are those of all such links. texts: id, buckets."""
+    kind = reached.schema["id"].dataType.simpleString()
+    wanted = reached.select("id").distinct()
+    text = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
+    member = reached.hint("merge").join(text.hint("merge").join(texts.select("id", "buckets"), "id"), "id")
+    schema = f"a {kind}, b {kind}, similarity double"
+    fields = arrow_schema(schema)
+    small_batches(reached.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches):
+            found = [link for begin, end in zip(starts[:-1], starts[1:]) for link in group_links(rows.slice(begin, end - begin), threshold)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), fields)], schema=fields)
+
+    dealt = in_blocks(member, BLOCK).select("bucket", "one", "two", "own", "place", "id", "label", "text", "buckets")
+    return dealt.mapInArrow(run, schema)
+
+
+def group_links(rows: pa.Table, threshold: float) -> list[tuple]:
+    """The links (a, b, similarity) of two blocks of a bucket that join classes; pairs of one block alone if it is alone.
+
+    Pairs that also share a bucket of an earlier table are compared there.
+    """
+    ids, own = rows.column("id").to_pylist(), rows.column("own").to_numpy()
+    alone, bucket = rows.column("one")[0] == rows.column("two")[0], rows.column("bucket")[0].as_py()
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in text.as_py().lower().split()], dtype=np.int32) for text in rows.column("text")]
+    size = np.array([len(w) for w in words])
+    order = np.argsort(size, kind="stable")
+    ids, own, words, size = [ids[i] for i in order], own[order], [words[i] for i in order], size[order]
+    tables = rows.column("buckets").combine_chunks().take(pa.array(order))
+    table = tables[0].as_py().index(bucket)
+    earlier = np.array([x.values.slice(0, table).to_numpy() for x in tables])
+    label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()[order].copy()
+    different = [np.unique(w, return_counts=True) for w in words]
+    kinds, counts = (np.concatenate([x[k] for x in different]) for k in (0, 1))
+    many = np.array([len(x[0]) for x in different])
+    ends = np.cumsum(many) - many
+    mine = np.zeros(len(number), dtype=np.int64)
+    reach = np.searchsorted(threshold * size - 1e-9, size, side="right")  # beyond, texts are too long for a link to each
+    most = edits_allowed(size, size, threshold)
+    found = []
+    for i in range(len(ids) - 1):
+        end = reach[i]
+        if not size[i]:
+            continue
+        good = label[i + 1 : end] != label[i]
+        if not alone:
+            good &= own[i + 1 : end] != own[i]
+        others = np.flatnonzero(good) + i + 1
+        others = others[~(earlier[others] == earlier[i]).any(axis=1)]
+        if not len(others):
+            continue
+        mine[different[i][0]] = different[i][1]
+        begins = np.cumsum(many[others]) - many[others]
+        at = np.repeat(ends[others] - begins, many[others]) + np.arange(many[others].sum())
+        common = np.add.reduceat(np.minimum(counts[at], mine[kinds[at]]), begins)
+        mine[different[i][0]] = 0
+        for j in others[size[others] - common <= most[others]]:
+            if label[j] == label[i]:
+                continue
+            edits = edit_distance(words[i].tolist(), words[j].tolist(), int(most[j]))
+            if edits <= most[j]:
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j]), 1 - edits / int(size[j])))
+                label[label == label[j]] = label[i]
+    return found
 
 
 def wider_pairs(going: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different classes, of members of a bucket at most width apart, whose counts of
+    """Not a step of near_duplicates, which compares whole buckets (in_reach, joining_links): the pairs in a window.
+
+    Distinct pairs (a, b), a < b, of different classes, of members of a bucket at most width apart, whose counts of
     words (texts: id, bag) allow a link.
 
     going (bucket, number, id, n_words, label) has consecutive numbers in each bucket. They are dealt out in blocks of
@@ -390,19 +503,12 @@ def hub_pairs(shared: DataFrame, threshold: float) -> DataFrame:
     return star.select(*_pair("id", "other")).distinct()
 
 
-def neighbour_pairs(shared: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of neighbours that neither labels (id, label) put into one class nor are among
-    those compared: most members of a group of copies have met in its hub already."""
-    pairs = shared.select("id", F.explode("before").alias("other")).select(*_pair("id", "other")).distinct()
-    return relabelled(pairs, labels, keep=True).join(compared, ["a", "b"], "left_anti")
-
-
-def relabelled(pairs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
-    """The pairs between different classes: as they are (keep), or as distinct pairs of class ids."""
+def relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs between different classes, as distinct pairs of class ids."""
     for x in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"class_{x}")), x, "left")
-    apart = pairs.select("a", "b", *(F.coalesce(f"class_{x}", x).alias(f"class_{x}") for x in ("a", "b"))).filter("class_a <> class_b")
-    return apart.select("a", "b") if keep else apart.select(*_pair("class_a", "class_b")).distinct()
+    apart = pairs.select(*(F.coalesce(f"class_{x}", x).alias(f"class_{x}") for x in ("a", "b"))).filter("class_a <> class_b")
+    return apart.select(*_pair("class_a", "class_b")).distinct()
 
 
 def bags_of(column: pa.Array) -> np.ndarray:
@@ -480,7 +586,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(df: DataFrame, threshold: float = 0.8, tables: int = 24, sample: int = 2, width: int = 5, fine: int = 16, short: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, labels): members (id, rep) gives every row with an id the smallest id with equal words; links
-    (a, b, similarity) are the verified pairs of such representatives; labels (id, label) their classes."""
+    (a, b, similarity) are verified pairs of such representatives, all that it takes to join their classes; labels (id,
+    label) are these."""
     own = df.filter(F.col(id_col).isNotNull())
     sketches = materialise(sketch(own, tables, sample, width, fine, short, id_col, text_col), "sketches")
     rep = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -488,29 +595,16 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, tables: int = 24, sam
     alone = members.filter("id = rep").select("id").distinct()
     texts = materialise(sketches.filter("n_words > 0").drop("digest").join(alone, "id", "left_semi").dropDuplicates(["id"]), "texts")
     bags = texts.select("id", "n_words", "bag")
-    shared = materialise(shared_buckets(texts, threshold), "shared")
-
-    def compare(pairs: DataFrame, label: str, alike: DataFrame | None = None) -> DataFrame:
-        alike = alike or materialise(like_bags(pairs, bags, threshold), f"{label}-alike")
-        found = verified(alike, own, threshold, id_col, text_col)
-        return materialise(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), f"{label}-links")
-
-    to_hubs = materialise(hub_pairs(shared, threshold), "hubs")
-    first = compare(to_hubs, "hubs")
+    shared = materialise(shared_buckets(texts), "shared")
+    to_hubs = materialise(like_bags(hub_pairs(shared, threshold), bags, threshold), "hubs")
+    to_hubs = verified(to_hubs, own, threshold, id_col, text_col)
+    first = materialise(to_hubs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "hub-links")
     labels = materialise(components(first), "labels")
-    near = materialise(neighbour_pairs(shared, labels, to_hubs), "neighbours")
-    found = compare(near, "neighbours")
-    links, done, width = first.unionByName(found), to_hubs.unionByName(near), NEIGHBOURS
-    labels = merged(labels, found, "classes")
-    going = consecutive(shared).drop("before")
-    while found.limit(1).count():
-        width *= WIDER
-        going = materialise(fruitful(going, found, labels), "going")
-        near = materialise(wider_pairs(going, bags, width, threshold).join(done, ["a", "b"], "left_anti"), "wider")
-        found = compare(near, "wider", alike=near)
-        links, done = links.unionByName(found), done.unionByName(near)
-        labels = merged(labels, found, "classes")
-    return members, links, labels
+    going = materialise(mixed(consecutive(shared), labels), "going")
+    reached = materialise(in_reach(going, bags, threshold), "reached")
+    rest = joining_links(reached, texts, own, threshold, id_col, text_col)
+    rest = materialise(rest.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+    return members, first.unionByName(rest), merged(labels, rest, "classes")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

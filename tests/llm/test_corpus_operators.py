@@ -148,6 +148,40 @@ def test_copies_without_their_original_are_linked(spark):
     assert sum(found[i] == found[j] for i, j in links) >= 0.95 * len(links)
 
 
+def links_in_buckets(texts):
+    """Pairs of texts that share a bucket of the operator and are alike enough, by plain loops."""
+    known, members = near_dedup.WordHashes(), defaultdict(set)
+    for i, t in enumerate(texts):
+        words = np.array([known[w] for w in t.lower().split()], dtype=np.uint64)
+        for tables, sample, width, first in ((24, 2, 5, 1), (16, 2, 2, 1001)):
+            for key in near_dedup.order_min_hash(words, tables, sample, width, first).tolist():
+                members[key].add(i)
+    pairs = {(i, j) for own in members.values() for i in own for j in own if i < j}
+    return [(i, j) for i, j in pairs if near_dedup.similar(texts[i], texts[j], 0.8) is not None], max(map(len, members.values()))
+
+
+def passages(seed):
+    """300 texts that share 36 words; of the other 24, two texts have every second one in common: a link, just."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    common, *own = ([rng.choice(vocabulary) for _ in range(n)] for n in (36, *[24] * 300))
+    own[200][::2] = own[10][::2]
+    return [" ".join(common + words) for words in own]
+
+
+@pytest.mark.parametrize("size", [1024, 16])
+def test_every_link_inside_a_bucket_is_found(spark, monkeypatch, size):
+    """Against plain loops: the only link stands in buckets of hundreds of texts that nothing else links; in one block
+    and in many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", size)
+    texts = passages(33)
+    links, largest = links_in_buckets(texts)
+    assert links == [(10, 200)] and largest > 200
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(d).collect()}
+    assert {i: c for i, c in found.items() if i != c} == {200: 10}
+
+
 def test_wider_pairs_are_all_within_the_width(spark, monkeypatch):
     """Against plain loops: a hot bucket over many blocks, borders of blocks and of ranges, classes, lengths."""
     rng = random.Random(6)
