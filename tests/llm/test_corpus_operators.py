@@ -505,3 +505,10 @@ def test_pipeline_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     items = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     assert not any(item in texts[i] for i in kept for item in items)
+
+
+def test_pipeline_drops_the_only_near_copy_of_a_large_bucket(spark):
+    import corpus_pipeline
+
+    d = spark.createDataFrame(list(enumerate(passages(33))), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, "").select("doc_id").collect()} == set(range(300)) - {200}
