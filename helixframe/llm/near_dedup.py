@@ -24,8 +24,10 @@ what is left; nothing but counts reaches the driver.
 
 Defined results: null and empty texts (and those of white space) are equal texts and form one class; a text of fewer
 than 5 words is one shingle (and one without white space is one word, which is alike to its equals only); repeated
-rows share a class; rows without an id get no class and are never dropped; an empty table gives an empty result; other
-columns pass through drop_near_duplicates untouched.
+rows share a class; rows that share an id but not a text are compared each by its own text, so they may be in several
+classes (of the same name, if the id is the smallest of both), and one row of each class stays; rows without an id get
+no class and are never dropped; an empty table gives an empty result; other columns pass through drop_near_duplicates
+untouched.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_arrow, materialise, small_batches
@@ -587,13 +589,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, threshold: float = 0.8, tables: int = 24, sample: int = 2, width: int = 5, fine: int = 16, short: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, labels): members (id, rep) gives every row with an id the smallest id with equal words; links
     (a, b, similarity) are verified pairs of such representatives, all that it takes to join their classes; labels (id,
-    label) are these."""
+    label) are these. An id names one row here; near_duplicate_classes takes any rows."""
     own = df.filter(F.col(id_col).isNotNull())
+    if repeats(own, id_col):
+        raise ValueError(f"{id_col} repeats, so it names no text; near_duplicate_classes numbers the rows")
     sketches = materialise(sketch(own, tables, sample, width, fine, short, id_col, text_col), "sketches")
     rep = sketches.groupBy("digest").agg(F.min("id").alias("rep"))
     members = materialise(sketches.select("id", "digest").join(rep, "digest").select("id", "rep"), "members")
-    alone = members.filter("id = rep").select("id").distinct()
-    texts = materialise(sketches.filter("n_words > 0").drop("digest").join(alone, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    alone = members.filter("id = rep").select("id")
+    texts = materialise(sketches.filter("n_words > 0").drop("digest").join(alone, "id", "left_semi"), "texts")
     bags = texts.select("id", "n_words", "bag")
     shared = materialise(shared_buckets(texts), "shared")
     to_hubs = materialise(like_bags(hub_pairs(shared, threshold), bags, threshold), "hubs")
@@ -607,19 +611,51 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, tables: int = 24, sam
     return members, first.unionByName(rest), merged(labels, rest, "classes")
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, class_id) of every row with an id: the smallest id of its class; how as in near_duplicates."""
+def repeats(df: DataFrame, id_col: str) -> bool:
+    """Whether an id stands in several rows; rows without one don't count."""
+    times = df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_times"))
+    return bool(times.filter("_times > 1").limit(1).count())
+
+
+def numbered(df: DataFrame, number: str) -> DataFrame:
+    """df with numbers of its rows, written once so that they stay."""
+    return materialise(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
+def classes_of_ids(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    """(id, label) of every row, whose ids name one row each: the smallest id of its class."""
     members, _, labels = near_duplicates(df, id_col=id_col, text_col=text_col, **how)
-    return members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias(id_col), F.coalesce("label", "rep").alias("class_id"))
+    return members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("label"))
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, class_id) of every row with an id: the smallest id of its class; how as in near_duplicates.
+
+    Where an id stands in several rows, the rows are numbered and compared one by one, each with its own text.
+    """
+    own = df.filter(F.col(id_col).isNotNull())
+    if not repeats(own, id_col):
+        return classes_of_ids(own, id_col, text_col, **how).select(F.col("id").alias(id_col), F.col("label").alias("class_id"))
+    rows = numbered(own.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")), "row")
+    labels = classes_of_ids(rows, "row", "text", **how).withColumnRenamed("id", "row")
+    member = materialise(rows.select("row", "own").hint("merge").join(labels, "row"), "row-classes")
+    lowest = member.groupBy("label").agg(F.min("own").alias("class_id"))
+    return member.hint("merge").join(lowest, "label").select(F.col("own").alias(id_col), "class_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df without the rows whose id isn't their class's smallest; of rows that repeat an id and a text one stays."""
-    classes = near_duplicate_classes(df, id_col=id_col, text_col=text_col, **how)
-    found = materialise(classes.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.count("*").alias("times")), "classes")
-    kept = df.join(found.filter(F.col(id_col) != F.col("class_id")).select(id_col).hint("merge"), id_col, "left_anti").select(*(f"`{c}`" for c in df.columns))
-    if not found.filter("times > 1").limit(1).count():
-        return kept
-    once = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    number = "_number_among_repeats"
-    return kept.withColumn(number, F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(once))).filter(f"{number} = 1").drop(number)
+    """df with one row of each class, of those with its smallest id; rows without an id stay."""
+    columns = [f"`{c}`" for c in df.columns]
+    if not repeats(df, id_col):
+        found = classes_of_ids(df, id_col, text_col, **how).filter("id <> label").select(F.col("id").alias(id_col))
+        return df.join(materialise(found, "dropped").hint("merge"), id_col, "left_anti").select(*columns)
+    number = "_row"
+    while number in (c.lower() for c in df.columns):
+        number += "_"
+    rows = numbered(df, number)
+    own = rows.filter(F.col(id_col).isNotNull()).select(F.col(number).alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    labels = classes_of_ids(own, "row", "text", **how).withColumnRenamed("id", "row")
+    member = materialise(own.select("row", "own").hint("merge").join(labels, "row"), "row-classes")
+    first = member.groupBy("label").agg(F.min(F.struct("own", "row")).alias("first")).select("first.row")
+    dropped = member.select("row").join(first.hint("merge"), "row", "left_anti").select(F.col("row").alias(number))
+    return rows.join(dropped.hint("merge"), number, "left_anti").select(*columns)

@@ -512,3 +512,26 @@ def test_pipeline_drops_the_only_near_copy_of_a_large_bucket(spark):
 
     d = spark.createDataFrame(list(enumerate(passages(33))), "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, d, "").select("doc_id").collect()} == set(range(300)) - {200}
+
+
+def test_pipeline_compares_every_text_of_a_repeated_id(spark):
+    """Ids that stand in two rows with different texts: no text's links are lost, and no text goes with its id's other one."""
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    other, text = ([[rng.choice(vocabulary) for _ in range(80)] for _ in range(20)] for _ in range(2))
+    rows = [(100 + k, " ".join(words)) for k in range(20) for words in (other[k], text[k])]
+    rows += [(200 + k, " ".join(replaced(rng, text[k], 1, vocabulary))) for k in range(20)]
+    rows += [(1, rows[0][1]), (7, None), (7, "")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _ROW string").repartition(4)
+    found = near_dedup.near_duplicate_classes(d)
+    assert found.columns == ["doc_id", "class_id"]
+    found = sorted((r["doc_id"], r["class_id"]) for r in found.collect())
+    assert found == sorted([(1, 1), (7, 7), (7, 7), (100, 1), (100, 100), (200, 100)] + [(i + k, 100 + k) for k in range(1, 20) for i in (100, 100, 200)])
+    kept = corpus_pipeline.near_dedup(spark, d, "")
+    assert kept.columns == d.columns
+    kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted((i, t or "") for i, t in kept) == sorted([(1, rows[0][1]), (7, "")] + rows[1:40])
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(d)
