@@ -136,6 +136,14 @@ def test_op5(spark, documents):
     assert len(want & set(found)) >= 0.98 * len(want) and want
 
 
+def test_op7_rules_of_the_contract(spark, tmp_path):
+    """Every rule's word as the contract has it; longest wins."""
+    lines = [("http://a.com/en/1", "com/en/", "block"), ("http://example.com/en/71", "example.com/en/7", "allow"), ("http://a.net/de/1", "net/de/", "allow"), ("http://x.example.net/de/81?q", "example.net/de/8", "block"), ("http://example.net/de/7", "net/de/", "allow"), ("http://a.org/es/", "org/es/", "block"), ("http://a.net/en/", None, "allow")]
+    spark.createDataFrame([(k, u) for k, (u, *_) in enumerate(lines)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()}
+    assert [found[k] for k in range(len(lines))] == [(r, v) for _, r, v in lines]
+
+
 def test_op7_method(spark):
     """Where no rule of the contract fits, the list decides."""
     lines = [("http://casino-win.example.net/", "block"), ("http://a.casino-win.example.net/x?y", "block"), ("http://casino-win.example.dev/", None), ("http://notcasino-win.example.net/", None), ("http://x.org/ads/1", "block"), ("http://x.org/ad", None), ("http://" + "a." * 5000 + "poker-club.example.org/" + "p" * 5000, "block")]
