@@ -23,6 +23,6 @@ def stream(spark: SparkSession, folder: str, fmt: str, what: str = "seqs", **opt
     if parse is None:
         raise ValueError(f"{fmt} has no {what}")
     texts = spark.readStream.option("wholetext", "true").schema("value string").format("text").load(folder)
-    named = texts.select(F.input_file_name().alias("src_file"), F.lit("0").alias("place"), F.col("value").alias("text"))
-    found = io._parsed(named, parse, what, options).withColumn("fmt", F.lit(fmt))
+    named = texts.select(F.input_file_name().alias("src_file"), F.lit(0).cast("long").alias("block"), F.col("value").alias("text"))
+    found = io._placed(io._parsed(named, parse, what, options)).withColumn("fmt", F.lit(fmt))
     return found.withColumn("type", sequence_type("data")) if what == "seqs" else found

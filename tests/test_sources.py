@@ -1,5 +1,6 @@
 """Formats: parsing, round trips, detection, archives, index."""
 
+import itertools
 import zipfile
 
 import pytest
@@ -148,3 +149,56 @@ def test_what_is_empty_or_unknown(spark, tmp_path):
     with pytest.raises(OSError, match="detected"):
         io.from_string(spark, "what is this")
     assert io.detect_ext("x.fna") == "fasta" and io.detect_ext("x.gtf", "fts") == "gtf" and io.detect_ext("x") is None
+
+
+BY_LINE = {
+    "gff": (["##gff-version 3"], ["c\tx\tCDS\t1\t3\t.\t+\t.\tName=n"]),
+    "gtf": ([], ['c\tx\texon\t1\t3\t.\t+\t.\tgene_id "g";']),
+    "tsv": (["seqid\ttype\tstart\tstop"], ["c\tCDS\t0\t3"]),
+    "csv": (["type,start,len"], ["CDS,0,3"]),
+    "blast": (["# BLASTN", "# Fields: query id, subject id, s. start, s. end"], ["q\tc\t1\t3"]),
+    "mmseqs": (["query\ttarget\ttstart\ttend"], ["q\tc\t1\t3"]),
+    "infernal": (["#" + " ".join(["---"] * 18)], ["c - q - cm 1 50 1 3 + no 1 0.5 0.0 33.3 1e-9 ! words"]),
+    "meme_txt": (["*", "MEME"], ["MOTIF M1 MEME-1 width = 3 E-value = 1e-4", "\tsites sorted by position p-value", "------------", "c + 1 1e-3 A CGT G", "------------"]),
+}
+
+
+@pytest.mark.parametrize("fmt", sorted(BY_LINE))
+def test_features_come_while_lines_are_read(fmt):
+    """A file's text is never held whole: endless lines give their first features."""
+    head, lines = BY_LINE[fmt]
+    endless = itertools.chain(head, itertools.cycle(lines))
+    found = list(itertools.islice(io.FORMATS[fmt].parse_fts(endless), 3))
+    assert [(f["locs"][0]["start"], f["locs"][0]["stop"]) for f in found] == [(0, 3)] * 3
+
+
+@pytest.mark.parametrize("fmt", sorted(BY_LINE))
+def test_one_file_read_by_many_tasks(spark, tmp_path, fmt):
+    """Lines keep their file's head and order, and batches are small, however Spark cuts the file."""
+    head, lines = BY_LINE[fmt]
+    n = 3 * io.ROWS
+    for name in "ab":
+        (tmp_path / name).write_text("\n".join(["", *head, *lines * n, ""]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        texts, by_line = io._texts(spark, str(tmp_path), io.FORMATS[fmt])
+        assert by_line and texts.count() >= 2 * n * len(lines)
+        found = io.read_fts(spark, str(tmp_path), fmt).orderBy("ord").select("ord", "src_file", "start", "stop").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["ord"] for r in found] == list(range(2 * n)) and {(r["start"], r["stop"]) for r in found} == {(0, 3)}
+    assert [r["src_file"].rsplit("/", 1)[1] for r in found] == ["a"] * n + ["b"] * n
+
+
+def test_features_of_many_locations_over_many_tasks(spark, tmp_path):
+    lines = [f"c\tx\tCDS\t{3 * k + 1}\t{3 * k + 2}\t.\t+\t.\tID=f{k // 5000}" for k in range(10000)]
+    (tmp_path / "x.gff").write_text("\n".join(["##gff-version 3", *lines, "##FASTA", ">c", "ACGT"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        found = io.read_fts(spark, str(tmp_path / "x.gff")).orderBy("ord").collect()
+        assert seqs(io.read(spark, str(tmp_path / "x.gff"))) == [("c", "ACGT")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["id"], r["start"], r["stop"], len(r["locs"])) for r in found] == [("f0", 0, 14999, 5000), ("f1", 15000, 29999, 5000)]
