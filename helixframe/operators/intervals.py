@@ -53,18 +53,39 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int, by: str | None = "seqid
     return x.join(y, on & first & L.overlaps(F.col("a_start"), F.col("a_stop"), F.col("b_start"), F.col("b_stop"))).drop("a_bin", "b_bin")
 
 
+#: Places whose features are compared in one group where sequences aren't told apart.
+BUCKET = 1 << 16
+
+
 def remove_nested(fts: DataFrame, by: str | None = "seqid", columns: list[str] | None = None) -> DataFrame:
     """Features that lie in no other one; of equal ranges the first stays, and of equal features one.
 
     A feature is nested if one that begins before it, or with it and ends later, or is equal and comes earlier, ends
-    no earlier: one running maximum. by=None compares across sequences, which takes one task.
+    no earlier: one running maximum. by=None compares across sequences: of the features that begin at one place only
+    the longest can stay, so the maximum runs over those, within buckets of places and then over the buckets.
     """
+    if by is None:
+        return _remove_nested_anywhere(fts, columns)
     own = remove_duplicates(fts, columns)
-    window = Window.partitionBy(*([by] if by else [])).orderBy("start", F.desc("stop"), "ord").rowsBetween(Window.unboundedPreceding, -1)
+    window = Window.partitionBy(by).orderBy("start", F.desc("stop"), "ord").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("stop").over(window)
     return own.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("_reach") < F.col("stop"))).drop("_reach")
 
 
+def _remove_nested_anywhere(fts: DataFrame, columns: list[str] | None) -> DataFrame:
+    names = fts.columns
+    # of equal features with equal ranges the first is the longest and first at its start anyway
+    own = fts if columns is None or {"start", "stop"} <= set(columns) else remove_duplicates(fts, columns)
+    longest = own.groupBy("start").agg(F.min_by(F.struct(*names), F.struct(-F.col("stop"), F.col("ord"))).alias("r")).select("r.*")
+    dealt = longest.withColumn("_bucket", F.floor(F.col("start") / BUCKET))
+    sizes = dealt.groupBy("_bucket").agg(F.max("stop").alias("_stop"))  # one row a bucket
+    earlier = sizes.select("_bucket", F.max("_stop").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max("stop").over(Window.partitionBy("_bucket").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.greatest(inside, "_before")  # of those that aren't null
+    found = dealt.join(F.broadcast(earlier), "_bucket").withColumn("_reach", reach)
+    return found.filter(F.col("_reach").isNull() | (F.col("_reach") < F.col("stop"))).select(*names)
+
+
 def remove_overlapping(fts: DataFrame, by: str | None = "seqid", columns: list[str] | None = None) -> DataFrame:
     """In list order, features that overlap none that was kept.
 

@@ -91,6 +91,19 @@ def test_nested_and_overlapping_against_loops(spark):
     assert pairs == {(i, j) for i, a in enumerate(items) for j, b in enumerate(items) if i < j and a[0] == b[0] and a[1] < b[2] and a[2] > b[1]}
 
 
+@pytest.mark.parametrize("scale", [1, intervals.BUCKET // 10])
+def test_nested_across_sequences(spark, scale):
+    """Equal to the loop within and across buckets, and no task reads all features: only buckets are ordered as a whole."""
+    rng = random.Random(6)
+    items = [("", s := scale * rng.randint(0, 300), s + scale * rng.randint(1, 9) - rng.randint(0, 1) * (scale > 1)) for _ in range(200)]
+    items += [("", items[0][1], items[0][2]), ("", -5 * scale, -3 * scale)]
+    f = features(spark, [(rng.choice("ab"), f"t{i % 3}", s, e, "+", None) for i, (_, s, e) in enumerate(items)])
+    found = intervals.remove_nested(f, by=None)
+    assert ords(found) == brute_nested(items) and found.columns == f.columns
+    assert ords(intervals.remove_nested(f, by=None, columns=["start", "stop", "type"])) == brute_nested(items)
+    assert "windowspecdefinition(start" not in found._jdf.queryExecution().toString()
+
+
 def test_reverse_twice(spark, few):
     located = few.withColumn("locs", F.array(L.location(F.col("start"), F.col("stop"), F.col("strand"))))
     twice = intervals.reverse_features(intervals.reverse_features(located, 100), 100)
