@@ -253,18 +253,16 @@ def _fts_columns(rows: list[dict], locs_type) -> list:
     return [*names, start, stop, [own[2][k] for k in first], [own[3][k] for k in first], locs, [_dumped(r["meta"]) for r in rows]]
 
 
-def _parsed(texts: DataFrame, parse, what: str, options: dict, by_line: bool = False) -> DataFrame:
-    """Sequences or features with the number of their row within their block; a task holds ROWS of them or LETTERS.
+def parsed_batches(batches: Iterator, parse, what: str, options: dict, by_line: bool, wanted) -> Iterator:
+    """Arrow batches of what parse finds in those of (src_file, block, text), of at most ROWS rows or about LETTERS letters.
 
-    by_line: the texts of a block are a file's lines, else each is parsed by itself.
+    A batch goes on over records, so many small ones take few batches. by_line: the texts of a block are a file's
+    lines, else each is parsed by itself.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = SEQS if what == "seqs" else FTS
-    wanted = to_arrow_schema(T._parse_datatype_string(schema))
+    import pyarrow as pa
 
     def found(blocks: Iterator) -> Iterator[dict]:
-        texts = (x for _, column in blocks for part in range(0, len(column), ROWS) for x in column.slice(part, ROWS).to_pylist())
+        texts = (x for _, column in blocks for at in range(0, len(column), ROWS) for x in column.slice(at, ROWS).to_pylist())
         if by_line:
             yield from parse(itertools.dropwhile(lambda x: not x, texts), **options)
         else:
@@ -282,19 +280,23 @@ def _parsed(texts: DataFrame, parse, what: str, options: dict, by_line: bool = F
         if part:
             yield part
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    for (src, block), blocks in itertools.groupby(_runs(batches), key=lambda x: x[0]):
+        at = 0
+        for rows in cut(found(blocks)):
+            n = len(rows)
+            columns = _seqs_columns(rows) if what == "seqs" else _fts_columns(rows, wanted.field("locs").type)
+            columns += [[src] * n, [block] * n, range(at, at + n)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
+            at += n
 
-        for (src, block), blocks in itertools.groupby(_runs(batches), key=lambda x: x[0]):
-            at = 0
-            for rows in cut(found(blocks)):
-                n = len(rows)
-                columns = _seqs_columns(rows) if what == "seqs" else _fts_columns(rows, wanted.field("locs").type)
-                columns += [[src] * n, [block] * n, range(at, at + n)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
-                at += n
 
-    return texts.mapInArrow(run, schema)
+def _parsed(texts: DataFrame, parse, what: str, options: dict, by_line: bool = False) -> DataFrame:
+    """Sequences or features of (src_file, block, text), with the number of their row within their block."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = SEQS if what == "seqs" else FTS
+    wanted = to_arrow_schema(T._parse_datatype_string(schema))
+    return texts.mapInArrow(lambda batches: parsed_batches(batches, parse, what, options, by_line, wanted), schema)
 
 
 def _placed(parsed: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ _BASE = re.compile(r"([<>]?)(\d+|\?)(?:(\.\.|\.|\^)([<>]?)(\d+|\?))?$")
 
 def split_top(text: str) -> list[str]:
     """Parts between commas that lie in no bracket."""
+    if "(" not in text:
+        return text.split(",")
     parts, depth, at = [], 0, 0
     for i, c in enumerate(text):
         depth += (c == "(") - (c == ")")
@@ -25,7 +27,7 @@ def parse_location(text: str, strand: str = "+") -> list[dict]:
 
     complement(..) turns the strand, join(..) and order(..) list parts, acc:range names another sequence.
     """
-    text = re.sub(r"\s+", "", text)
+    text = "".join(text.split())
     for word in ("complement", "join", "order"):
         if text.startswith(word + "(") and text.endswith(")"):
             inner = text[len(word) + 1 : -1]

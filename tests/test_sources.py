@@ -3,7 +3,10 @@
 import itertools
 import zipfile
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixframe.sources import fastaindex, io, parsers, writers
 from helixframe.sources.locgrammar import parse_location
@@ -202,3 +205,18 @@ def test_features_of_many_locations_over_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r["id"], r["start"], r["stop"], len(r["locs"])) for r in found] == [("f0", 0, 14999, 5000), ("f1", 15000, 29999, 5000)]
+
+
+@pytest.mark.parametrize("fmt,text", [("genbank", GENBANK), ("embl", EMBL)])
+@pytest.mark.parametrize("what", ["seqs", "fts"])
+def test_many_records_take_few_batches(fmt, text, what):
+    wanted = to_arrow_schema(T._parse_datatype_string(io.SEQS if what == "seqs" else io.FTS))
+    own = io.FORMATS[fmt]
+    texts = pa.RecordBatch.from_pydict({"src_file": ["a"] * 999 + ["b"], "block": [0] * 900 + [7] * 100, "text": [text] * 1000})
+    found = list(io.parsed_batches(iter([texts, texts]), own.parse if what == "seqs" else own.parse_fts, what, {}, False, wanted))
+    each = found[0].num_rows // 900
+    assert [(b["src_file"][0].as_py(), b["block"][0].as_py(), b.num_rows) for b in found] == [("a", 0, 900 * each), ("a", 7, 99 * each), ("b", 7, each)] * 2
+    assert found[0]["row"].to_pylist() == list(range(900 * each))
+    long = texts.slice(0, 100).set_column(2, "text", pa.array([text.replace("acgtacgtac", "a" * 100000)] * 100))
+    if what == "seqs":
+        assert len(list(io.parsed_batches(iter([long]), own.parse, what, {}, False, wanted))) == 3
