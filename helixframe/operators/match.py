@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,9 @@ START_CODONS = ("AUG", "ATG")
 STOP_CODONS = ("UAG", "UAA", "UGA", "TAG", "TAA", "TGA")
 FRAMES = (0, 1, 2, -1, -2, -3)
 
+#: Results that a task holds before it gives them on, and texts that it reads at a time.
+RESULTS, TEXTS = 1 << 15, 64
+
 MATCHES = "seq_ord long, seqid string, seqlen int, rf int, start int, stop int, raw_start int, raw_stop int, match string"
 
 
@@ -38,7 +41,7 @@ def match_codons(seqs: DataFrame, words: Sequence[str], rf: int | str | Sequence
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             letters, offsets = raw(batch.column(2))
-            table, parts = marked(tuple(words)), []
+            table, parts, held = marked(tuple(words)), [], 0
             for k, (low, high) in enumerate(pairwise(offsets.tolist())):
                 own = bases(letters[low:high])
                 for strand in (1, -1):
@@ -50,24 +53,52 @@ def match_codons(seqs: DataFrame, words: Sequence[str], rf: int | str | Sequence
                     keep = (at >= start) & np.isin(signed, wanted)
                     at, signed = at[keep], signed[keep]
                     parts.append((np.full(len(at), k), np.full(len(at), high - low), signed, at if strand > 0 else high - low - at - 3, at))
-            if not parts:
-                continue
-            row, size, signed, begin, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            # a word is read where it lies: forward as it is, backward from its complement
-            texts = [_word(letters[offsets[k] + b : offsets[k] + b + 3].tobytes().decode("latin1"), s < 0) for k, b, s in zip(row.tolist(), begin.tolist(), signed.tolist(), strict=True)]
-            values = [batch.column(0).take(pa.array(row)).cast(pa.int64()), batch.column(1).take(pa.array(row)).cast(pa.string()), *(pa.array(x, pa.int32()) for x in (size, signed, begin, begin + 3, at, at + 3)), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(values, names=["seq_ord", "seqid", "seqlen", "rf", "start", "stop", "raw_start", "raw_stop", "match"])
+                    held += len(at)
+                if held >= RESULTS:
+                    yield from _codon_batches(batch, letters, offsets, parts)
+                    parts, held = [], 0
+            if parts:
+                yield from _codon_batches(batch, letters, offsets, parts)
 
     return seqs.select("ord", "id", "data").mapInArrow(run, MATCHES)
 
 
-_TURN = str.maketrans(LETTERS, COMPLEMENTS)
+def _codon_batches(batch: pa.RecordBatch, letters: np.ndarray, offsets: np.ndarray, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of RESULTS matches of parts, which are (row, size, frame, start, raw start) of a sequence's strand."""
+    every = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    for low in range(0, len(every[0]), RESULTS):
+        row, size, signed, begin, at = (x[low : low + RESULTS] for x in every)
+        # a word is read where it lies: forward as it is, backward from its complement
+        words = letters[(offsets[row] + begin)[:, None] + np.arange(3)]
+        back = signed < 0
+        words[back] = _turned(words[back])
+        texts = pa.StringArray.from_buffers(len(row), pa.py_buffer(np.arange(0, 3 * len(row) + 1, 3, dtype=np.int32)), pa.py_buffer(words.tobytes()))
+        values = [batch.column(0).take(pa.array(row)).cast(pa.int64()), batch.column(1).take(pa.array(row)).cast(pa.string()), *(pa.array(x, pa.int32()) for x in (size, signed, begin, begin + 3, at, at + 3)), texts]
+        yield pa.RecordBatch.from_arrays(values, names=["seq_ord", "seqid", "seqlen", "rf", "start", "stop", "raw_start", "raw_stop", "match"])
+
+
+_TURN = np.arange(256, dtype=np.uint8)
+_TURN[list(map(ord, LETTERS))] = list(map(ord, COMPLEMENTS))
+_TURN[ord("U")] = ord("A")
+
 
+def _turned(words: np.ndarray) -> np.ndarray:
+    """Reverse complements of words, a row each; those with a U are spelled with U."""
+    out = _TURN[words][:, ::-1]
+    return np.where((words == ord("U")).any(axis=1, keepdims=True) & (out == ord("T")), np.uint8(ord("U")), out)
 
-def _word(text: str, back: bool) -> str:
-    if not back:
-        return text
-    return text.replace("U", "T").translate(_TURN).replace("T", "U")[::-1] if "U" in text else text.translate(_TURN)[::-1]
+
+def texts_of(batches: Iterator) -> Iterator[tuple]:
+    """The rows of batches, of which TEXTS are read at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, TEXTS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(low, TEXTS).columns), strict=True)
+
+
+def batches_of(rows: Iterator[tuple], names: Sequence[str], kinds: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of RESULTS rows."""
+    while part := list(islice(rows, RESULTS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
 
 def with_gaps(pattern: str, gap: str) -> str:
@@ -114,17 +145,16 @@ def match(seqs: DataFrame, pattern: str, rf: int | str | Sequence[int] | None =
     def run(batches: Iterator) -> Iterator:
         names = ["seq_ord", "seqid", "seqlen", "rf", "start", "stop", "raw_start", "raw_stop", "match"]
         kinds = [pa.int64(), pa.string(), *[pa.int32()] * 6, pa.string()]
-        for batch in batches:
-            rows = []
-            for number, seqid, text, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size = len(text)
-                for frame, begin, end, found in matches_of(text, back, expression, wanted, start, gap):
-                    place = (begin, end) if frame is None or frame >= 0 else (size - end, size - begin)
-                    rows.append((number, seqid, size, frame, *place, begin, end, found))
-                    if not matchall:
-                        break
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        yield from batches_of(rows_of(batches), names, kinds)
+
+    def rows_of(batches: Iterator) -> Iterator[tuple]:
+        for number, seqid, text, back in texts_of(batches):
+            size = len(text)
+            for frame, begin, end, found in matches_of(text, back, expression, wanted, start, gap):
+                place = (begin, end) if frame is None or frame >= 0 else (size - end, size - begin)
+                yield number, seqid, size, frame, *place, begin, end, found
+                if not matchall:
+                    break
 
     back = reverse_complement("data") if wanted and any(f < 0 for f in wanted) else F.lit("")
     return seqs.select("ord", "id", "data", back.alias("back")).mapInArrow(run, MATCHES)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import COMPLEMENTS, LETTERS, reverse_complement
 from .codes import bases, codons, complement_table, marked, raw
-from .match import FRAMES, START_CODONS, STOP_CODONS, frames, matches_of
+from .match import FRAMES, RESULTS, START_CODONS, STOP_CODONS, batches_of, frames, matches_of, texts_of
 
 def plain_orfs(letters: np.ndarray, rf: tuple[int, ...], need_start: str, need_stop: bool, nested: str, len_ge: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(frame, begins, ends, has_start, has_stop) on the strand scanned, for each frame of a sequence without gaps."""
@@ -60,7 +60,7 @@ def _native(seqs: DataFrame, rf: tuple[int, ...], need_start: str, need_stop: bo
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             letters, offsets = raw(batch.column(2))
-            row, frame, columns, texts = [], [], [], []
+            row, frame, columns, texts, held = [], [], [], [], 0
             for k, (low, high) in enumerate(pairwise(offsets.tolist())):
                 own = letters[low:high]
                 text = own.tobytes().decode("latin1") if with_data else ""
@@ -71,13 +71,19 @@ def _native(seqs: DataFrame, rf: tuple[int, ...], need_start: str, need_stop: bo
                     if with_data:
                         back = text if f >= 0 else _turned(text)
                         texts += [back[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            if not row:
-                continue
-            at, rf_ = np.concatenate(row), np.concatenate(frame)
-            sizes = np.diff(offsets)
-            rest = [np.concatenate(c) for c in zip(*columns, strict=True)]
-            values = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), sizes[at], np.where(rf_ >= 0, "+", "-"), rf_, *rest, texts if with_data else pa.nulls(len(at), pa.string())]
-            yield pa.RecordBatch.from_arrays([v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
+                    held += len(begin)
+                if held >= RESULTS:
+                    yield gathered(batch, offsets, row, frame, columns, texts)
+                    row, frame, columns, texts, held = [], [], [], [], 0
+            if row:
+                yield gathered(batch, offsets, row, frame, columns, texts)
+
+    def gathered(batch: pa.RecordBatch, offsets: np.ndarray, row: list, frame: list, columns: list, texts: list) -> pa.RecordBatch:
+        at, rf_ = np.concatenate(row), np.concatenate(frame)
+        sizes = np.diff(offsets)
+        rest = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        values = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), sizes[at], np.where(rf_ >= 0, "+", "-"), rf_, *rest, texts if with_data else pa.nulls(len(at), pa.string())]
+        return pa.RecordBatch.from_arrays([v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
 
     return seqs.select("ord", "id", "data").mapInArrow(run, "seq_ord long, seqid string, seqlen int, strand string, rf int, begin long, end long, has_start boolean, has_stop boolean, data string")
 
@@ -193,13 +199,12 @@ def _general(seqs: DataFrame, rf: tuple[int, ...], start: str, stop: str, need_s
     def run(batches: Iterator) -> Iterator:
         names = ["seq_ord", "seqid", "seqlen", "strand", "rf", "begin", "end", "has_start", "has_stop"]
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-        for batch in batches:
-            rows = []
-            for number, seqid, text, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for f, begin, end, has_start, has_stop in orfs_of(text, back, rf, start, stop, need_start, need_stop, nested, gap, len_ge):
-                    rows.append((number, seqid, len(text), "+" if f >= 0 else "-", f, begin, end, has_start, has_stop))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        yield from batches_of(rows_of(batches), names, kinds)
+
+    def rows_of(batches: Iterator) -> Iterator[tuple]:
+        for number, seqid, text, back in texts_of(batches):
+            for f, begin, end, has_start, has_stop in orfs_of(text, back, rf, start, stop, need_start, need_stop, nested, gap, len_ge):
+                yield number, seqid, len(text), "+" if f >= 0 else "-", f, begin, end, has_start, has_stop
 
     return seqs.select("ord", "id", "data", reverse_complement("data").alias("back")).mapInArrow(run, "seq_ord long, seqid string, seqlen int, strand string, rf int, begin long, end long, has_start boolean, has_stop boolean")
 

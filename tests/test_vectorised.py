@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helixframe.functions import sequence
@@ -154,3 +155,35 @@ def test_reading_without_numbers_needs_no_shuffle(spark, tmp_path):
     assert "Exchange" not in found._jdf.queryExecution().toString() and sorted(r["id"] for r in found.collect()) == ["x", "y"]
     assert [r["id"] for r in io.iterate(spark, str(tmp_path / "a.fasta"))] == ["x", "y"]
     assert writers.to_string(io.read(spark, str(tmp_path / "a.fasta")), "fasta") == ">x\nACGT\n>y\nGG\n"
+
+
+def test_matches_of_codons_come_in_small_batches(spark):
+    """A batch of texts, or one long text, gives its matches a bounded number at a time, backward words included."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("ACGT", 50), ("ACGU", 60), ("ACGUT", 70))]
+    sets = pa.RecordBatch.from_pydict({"ord": [0, 1, 2], "id": ["a", "b", "c"]})
+    offsets = np.cumsum([0, *map(len, texts)])
+    places = np.array([rng.randrange(3) for _ in range(5 * match.RESULTS // 2)])
+    begin = np.array([rng.randrange(48) for _ in places])
+    frame = np.array([rng.choice([0, 1, 2, -1, -2, -3]) for _ in places])
+    found = list(match._codon_batches(sets, np.frombuffer("".join(texts).encode(), np.uint8), offsets, [(places, places, frame, begin, begin)]))
+    assert [b.num_rows for b in found] == [match.RESULTS, match.RESULTS, match.RESULTS // 2]
+    got = [w for b in found for w in b["match"].to_pylist()]
+    words = [texts[k][b : b + 3] for k, b in zip(places.tolist(), begin.tolist(), strict=True)]
+    assert got == [turned(w) if f < 0 else w for w, f in zip(words, frame.tolist(), strict=True)]
+    long = table(spark, ["TAA" * match.RESULTS * 2])
+    assert match.match_codons(long, match.STOP_CODONS, 0).count() == 2 * match.RESULTS
+
+
+def test_texts_are_read_few_at_a_time():
+    read = []
+
+    def batches():
+        while True:
+            read.append(1)
+            yield pa.RecordBatch.from_pydict({"a": list(range(1000)), "b": ["x"] * 1000})
+
+    rows_ = match.texts_of(batches())
+    assert [next(rows_) for _ in range(1001)][-1] == (0, "x") and len(read) == 2
+    first = next(match.batches_of(rows_, ["a", "b"], [pa.int64(), pa.string()]))
+    assert first.num_rows == match.RESULTS and len(read) <= match.RESULTS // 1000 + 3
